@@ -6,6 +6,9 @@ import importlib
 
 _MODULES = [
     "p1_format_duplicates",
+    "p5_splitting",
+    "p7_leakage",
+    "p8_mixing",
 ]
 
 
