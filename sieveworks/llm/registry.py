@@ -8,6 +8,7 @@ _MODULES = [
     "p1_format_duplicates",
     "p4_near_duplicates",
     "p5_splitting",
+    "p6_encoding",
     "p7_leakage",
     "p8_mixing",
 ]
