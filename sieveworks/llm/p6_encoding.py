@@ -34,7 +34,7 @@ LAYERS = 4
 CHAINS = [
     ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "mac_roman"),
     ("utf-8", "cp1251"), ("utf-8", "cp1250"), ("utf-8", "koi8-r"), ("utf-8", "cp866"),
-    ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("mac_roman", "cp1252"),
+    ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("cp1252", "cp1251"),
 ]
 
 #: training lines for scripts and signs that a corpus may lack; all proper
@@ -133,7 +133,7 @@ class ChainModel:
 
     def _count(self, own: list[str], alpha: float) -> None:
         seen: list[list[np.ndarray]] = [[] for _ in range(len(CHAINS) + 1)]
-        for s in [*own, *LINES * 3]:
+        for s in [*own, *LINES * 3, *map(str.upper, LINES)]:
             seen[0].append(features(s))
             for k, chain in enumerate(CHAINS, 1):
                 bad = garble(s, chain)
