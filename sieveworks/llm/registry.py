@@ -11,6 +11,7 @@ _MODULES = [
     "p6_encoding",
     "p7_leakage",
     "p8_mixing",
+    "p9_subjects",
 ]
 
 
