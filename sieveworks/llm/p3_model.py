@@ -63,6 +63,7 @@ class Tagger:
         r = np.random.default_rng(seed)
         f = lambda *shape, s: (r.standard_normal(shape) * s).astype(np.float32)
         self.h = hidden
+        self.known: frozenset[int] = frozenset()  # hashes of words that never occur in names or streets
         self.p = {
             "x": f(2, VOCAB, 4 * hidden, s=0.3), "u": f(2, hidden, 4 * hidden, s=hidden**-0.5),
             "w": f(2 * hidden, K, s=0.3), "b": np.zeros(K, np.float32), "t": np.zeros((K, K), np.float32), "s": np.zeros(K, np.float32),
@@ -72,13 +73,15 @@ class Tagger:
     @classmethod
     def load(cls, path: str) -> Tagger:
         with np.load(path) as f:
-            p = {k: f[k].astype(np.float32) for k in f.files}
+            p = {k: f[k] for k in f.files}
         out = cls(p["u"].shape[1])
-        out.p = p
+        out.known = frozenset(p.pop("known", np.empty(0, np.uint64)).tolist())
+        out.p = {k: v.astype(np.float32) for k, v in p.items()}
         return out
 
     def save(self, path: str) -> None:
-        np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in self.p.items()})
+        known = np.array(sorted(self.known), np.uint64)
+        np.savez_compressed(path, known=known, **{k: v.astype(np.float16) for k, v in self.p.items()})
 
     def _run(self, ids: np.ndarray, keep: bool):
         n, length = ids.shape
@@ -110,8 +113,9 @@ class Tagger:
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """(length, windows, tags)."""
+        length, n = ids.shape[1], len(ids)
         both, _ = self._run(ids, False)
-        return both @ self.p["w"] + self.p["b"]
+        return (both.reshape(-1, both.shape[-1]) @ self.p["w"] + self.p["b"]).reshape(length, n, K)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Best tag sequences; windows that no transition could lift above the all-outside path skip the search."""

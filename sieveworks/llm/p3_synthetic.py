@@ -170,6 +170,9 @@ class Writer:
                 f"Hope Street and Will Lane are the names of rooms at {u()}.", f"Version {k}.{n(1)} of {self.code()} is final.", f"Serial {n(5)}-{n(5)} belongs to {u()}.", f"Rosa and blue lists are kept at {u()}.",
                 f"Account codes {n(4)}, {n(4)} and {n(4)} are closed.", f"{u()} | {self.code()} | {k} | {n(3)}", f"Save it under C:\\shared\\{self.code()} and press Enter twice.", f"See item [{n(1)}] of the list, or #{n(2)} in the queue.",
                 f"The ticket {n(6)} was closed by {u()}.", f"Artikel {n(4)}-{n(4)} liegt im Lager.", f"Contrat {n(4)}/{n(5)} du service.", f"Pedido {n(4)} {n(4)} {n(2)} entregado.", f"Owner: {u()}", f"Effective: {d()}", f"Form: {self.code()}",
+                f"{u()} | {self.code()} | {k} | {n(3)}\n{u()} | {self.code()} | {n(3)} | {n(2)}\n{u()} | {self.code()} | {n(2)} | {n(3)}", f"Values with a < {n(1)} and b > {n(2)} are kept.", f"{d()}", f"Gültig ab: {r.randrange(1, 29)}. {r.choice(MONTHS['de'])}\nFormular: {self.code()}\nStatus: draft",
+                f"Vigente desde: {d()}\nFormulario: {self.code()}", f"En vigueur: {d()}\nFormulaire: {self.code()}\nStatut: final", f"Owner: {u()}\nEffective: {d()}\nForm: {self.code()}", f"Vor dem {r.randrange(1, 29)}. {r.choice(MONTHS['de'])} gab es keine Liste.", f"Die {u()} meldet sie am {r.randrange(1, 29)}. {r.choice(MONTHS['de'])}.",
+                f"unit | count\n{u()} | {n(3)}\n{u()} | {n(2)}", f"The sizes are {n(1)} * {n(1)} * {n(1)} mm.", f"Fees of ${n(2)} and ${n(2)} apply.", f"Column unit_count_{n(2)} stays empty.", f"x = {n(1)}; y = x + {n(1)}", f"Sites A & B (half each) hold {n(2)} pieces.",
                 f"Room {k}, {self.place()} {r.choice(['Hall', 'House', 'Court'])}, is closed on {d()}.", f"The {self.place()} Road depot opens at {n(1)}.", "Will Friday do for the meeting?", "Will The Depot Keep The Lists?",
             ])
         if self.lang == "en":
@@ -221,7 +224,10 @@ class Writer:
             lambda: o("Le colis est parti au ") + A() + o("."), lambda: o("El paquete fue a ") + A() + o("."), lambda: o("Er wohnt seit Mai in der ") + A() + o("."),
             lambda: o("Please check ") + I() + o(" against the copy."), lambda: o("On record: ") + I() + o("."), lambda: o("The applicant gave ") + I() + o(" on the sheet."), lambda: o("Numéro noté : ") + I() + o("."), lambda: o("Pièce fournie : ") + I() + o("."), lambda: o("Se anotó ") + I() + o("."),
             lambda: o("Consta ") + I() + o(" en la ficha."), lambda: o("Hinterlegt ist ") + I() + o("."), lambda: o("Angegeben wurde ") + I() + o("."), lambda: N() + o(", ") + I() + o(", ") + A(), lambda: N() + o(" | ") + A() + o(" | ") + P(), lambda: N() + o(", ") + I() + o(", ") + A(), lambda: N() + o(" | ") + A() + o(" | ") + P(),
-            lambda: N() + o(", ") + A() + o(", ") + P(), lambda: N(), lambda: N() + o(": ") + P(),
+            lambda: N() + o(", ") + A() + o(", ") + P(), lambda: N(), lambda: N() + o("\n") + E() + o("\n") + P(), lambda: N() + o("\n") + E() + o("\n") + [(self.phone().replace(" ", "").replace("-", "").replace("(", "").replace(")", "").replace(".", "").replace("/", ""), "phone")],
+            lambda: o(r.choice(["Rückfragen bitte an ", "Fragen an ", "Bei Fragen: ", "Questions ? ", "Dudas: ", "Reach me at ", "cc: "])) + E() + o(r.choice([".", ""])), lambda: o(r.choice(["Zuletzt geändert von ", "Zustellung durch ", "Verfasst von ", "Rédigé par ", "Escrito por ", "Prepared by ", "Please see "])) + N() + o("."),
+            lambda: o(r.choice(["Zustellung an ", "Versand an ", "Livré au ", "Enviado a ", "Ship to ", "Lives at "])) + A() + o("."), lambda: o(r.choice(["Please check ", "On record: ", "The applicant gave ", "Pièce fournie : ", "Hinterlegt ist ", "ID: ", "Nr. "])) + I() + o("."), lambda: o(r.choice(["Please check ", "On record: ", "Consta "])) + I(),
+            lambda: N() + o(", ") + I(), lambda: N() + o("\n") + A() + o("\n") + P(), lambda: o("N. ") + I() + o(", ") + N(), lambda: N() + o(": ") + P(),
         ]
         return r.choice(forms)()
 

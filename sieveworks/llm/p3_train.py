@@ -9,22 +9,25 @@ from __future__ import annotations
 import random
 import re
 import sys
+from collections import Counter
 
 import numpy as np
 
 from sieveworks.llm.p3_model import KINDS, LENGTH, PAD, Tagger, encode, train
 from sieveworks.llm.p3_personal import WEIGHTS, places, windows
 from sieveworks.llm.p3_synthetic import GIVEN, Writer
+from sieveworks.llm.words import fold, word_hash
 
-NEGATIVES = 20_000
-_DOUBT = re.compile(r"[@<>\\{}\[\]|]|\d[\d ()./-]{6,}|\b(?:" + "|".join(GIVEN) + r")\b|[A-Z]\.\s", re.I)
+NEGATIVES = 30_000
+_TOKEN = re.compile(r"[^\W\d_]+")
+_DOUBT = re.compile(r"[@<>\\{}\[\]]|(?<![\d./])\d{3}[ -]\d|\d{7}|\(\d|\b(?:" + "|".join(GIVEN) + "|" + "|".join(map(str.upper, GIVEN)) + r")\b|\b[A-Z]\. ")
 
 
 def negatives(path: str) -> list[str]:
     import pyarrow.parquet as pq
     import xxhash
 
-    found = set()
+    found: set[str] = set()
     for text in pq.read_table(path, columns=["text"])["text"].to_pylist():
         for s in re.split(r"(?<=[.!?])\s+|\n", text or ""):
             if 20 < len(s) < 160 and not _DOUBT.search(s):
@@ -32,7 +35,25 @@ def negatives(path: str) -> list[str]:
     return sorted(found, key=xxhash.xxh3_64_intdigest)[:NEGATIVES]
 
 
-def batches(seed: int, size: int, plain: list[str]):
+def known_words(plain: list[str], seed: int = 5, texts: int = 20_000, least: int = 3) -> frozenset[int]:
+    """Hashes of words that are common in text without personal data and never occur inside a labelled span."""
+    w = Writer(seed)
+    free: Counter[str] = Counter()
+    inside: set[str] = set()
+    for s in plain:
+        free.update(_TOKEN.findall(fold(s)))
+    for _ in range(texts):
+        text, spans = w.text()
+        at = 0
+        for s, e, kind in [*spans, (len(text), len(text), "")]:
+            free.update(_TOKEN.findall(fold(text[at:s])))
+            if kind in ("person_name", "street_address"):
+                inside.update(_TOKEN.findall(fold(text[s:e])))
+            at = e
+    return frozenset(word_hash(t) for t, n in free.items() if n >= least and t not in inside and len(t) > 1)
+
+
+def batches(seed: int, size: int, plain: list[str], known: frozenset[int]):
     w = Writer(seed)
     ids, tags = [], []
     while True:
@@ -42,7 +63,7 @@ def batches(seed: int, size: int, plain: list[str]):
         for s, e, kind in spans:
             gold[s] = 1 + 2 * KINDS.index(kind)
             gold[s + 1 : e] = 2 + 2 * KINDS.index(kind)
-        for at in windows(places(text), len(text)):
+        for at in windows(places(text, known), len(text)):
             ids.append(codes[at : at + LENGTH])
             tags.append(gold[at : at + LENGTH])
             if len(ids) == size:
@@ -72,7 +93,9 @@ def main(argv: list[str]) -> None:
     plain = negatives(argv[0]) if argv else []
     steps = int(argv[1]) if len(argv) > 1 else 3000
     model = Tagger(hidden=24, seed=3)
-    train(model, batches(11, 128, plain), steps)
+    model.known = known_words(plain)
+    print(len(plain), "sentences without personal data,", len(model.known), "known words")
+    train(model, batches(11, 128, plain, model.known), steps)
     model.save(WEIGHTS)
     for kind, (p, r) in accuracy(model, 99).items():
         print(f"{kind}: precision {p:.3f}, recall {r:.3f}")

@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "p1_format_duplicates",
     "p2_markup",
+    "p3_personal",
     "p4_near_duplicates",
     "p5_splitting",
     "p6_encoding",
