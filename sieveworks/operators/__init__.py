@@ -1 +1 @@
-
+"""Checks as DataFrame transforms."""

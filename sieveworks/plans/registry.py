@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sieveworks.storage import table
+from sieveworks.plans import index_queries, text_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("fmt").agg(F.count(F.lit(1)).alias("n"))
+    """Score and verdict of the corpus after all checks."""
+    return index_queries.q_scan_report(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {**text_queries.QUERIES, **index_queries.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**text_queries.ORACLE, **index_queries.ORACLE}
