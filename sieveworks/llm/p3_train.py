@@ -1,4 +1,4 @@
-"""Trains the tagger of problem 3: ``python -m sieveworks.llm.p3_train [PAGES.parquet]``.
+"""Trains the tagger of problem 3: ``python -m sieveworks.llm.p3_train [PAGES.parquet [STEPS [continue]]]``.
 
 Labelled spans come from ``p3_synthetic``. With a table of pages, sentences of it that show no sign of personal data
 (at most ``NEGATIVES``, in order of a hash) are mixed in as text without any.
@@ -14,13 +14,20 @@ from collections import Counter
 import numpy as np
 
 from sieveworks.llm.p3_model import KINDS, LENGTH, PAD, Tagger, encode, train
-from sieveworks.llm.p3_personal import WEIGHTS, places, windows
+from sieveworks.llm.p3_personal import _DATE, _DIGITS, WEIGHTS, places, windows
 from sieveworks.llm.p3_synthetic import GIVEN, Writer
 from sieveworks.llm.words import fold, word_hash
 
 NEGATIVES = 30_000
 _TOKEN = re.compile(r"[^\W\d_]+")
-_DOUBT = re.compile(r"[@<>\\{}\[\]]|(?<![\d./])\d{3}[ -]\d|\d{7}|\(\d|\b(?:" + "|".join(GIVEN) + "|" + "|".join(map(str.upper, GIVEN)) + r")\b|\b[A-Z]\. ")
+_DOUBT = re.compile(
+    r"[@<>\\{}\[\]]|\(\d|\b[A-Z]\. |\b(?:" + "|".join(GIVEN) + "|" + "|".join(map(str.upper, GIVEN)) + r")\b"
+    r"|(?i:\b(?:street|st|road|rd|lane|ln|avenue|ave|court|close|terrace|drive|rue|boulevard|impasse|chemin|allée|place|calle|c/|paseo|plaza|camino|avenida)\b.{0,30}\d|\d.{0,30}\b(?:street|st|road|rd|lane|ln|avenue|ave|court|close|terrace|drive|rue|boulevard|impasse|chemin|allée|place)\b|(?:straße|str\.|weg|platz|gasse|allee|wehr) \d)"
+)
+
+
+def _doubtful(s: str) -> bool:
+    return bool(_DOUBT.search(s)) or any(sum(c.isdigit() for c in m.group()) > 5 and not _DATE.match(m.group()) for m in _DIGITS.finditer(s))
 
 
 def negatives(path: str) -> list[str]:
@@ -30,7 +37,7 @@ def negatives(path: str) -> list[str]:
     found: set[str] = set()
     for text in pq.read_table(path, columns=["text"])["text"].to_pylist():
         for s in re.split(r"(?<=[.!?])\s+|\n", text or ""):
-            if 20 < len(s) < 160 and not _DOUBT.search(s):
+            if 20 < len(s) < 160 and not _doubtful(s):
                 found.add(s)
     return sorted(found, key=xxhash.xxh3_64_intdigest)[:NEGATIVES]
 
@@ -92,10 +99,11 @@ def main(argv: list[str]) -> None:
     random.seed(0)
     plain = negatives(argv[0]) if argv else []
     steps = int(argv[1]) if len(argv) > 1 else 3000
-    model = Tagger(hidden=24, seed=3)
+    again = argv[2:] == ["continue"]
+    model = Tagger.load(WEIGHTS) if again else Tagger(hidden=24, seed=3)
     model.known = known_words(plain)
     print(len(plain), "sentences without personal data,", len(model.known), "known words")
-    train(model, batches(11, 128, plain, model.known), steps)
+    train(model, batches(12 if again else 11, 128, plain, model.known), steps, 0.006 if again else 0.01)
     model.save(WEIGHTS)
     for kind, (p, r) in accuracy(model, 99).items():
         print(f"{kind}: precision {p:.3f}, recall {r:.3f}")
