@@ -47,9 +47,12 @@ def with_shingles(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     guard is inside the expression since filters do not protect it.
     """
     n = F.size("_w")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, size), " "))
-    some = F.when(n >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
-    return docs.withColumn("_w", T.norm_words("text")).withColumn("shingles", some).drop("_w")
+    many = F.greatest(n - size + 1, F.lit(0))
+    # shifted copies are zipped: a slice per run would copy the whole array each time
+    shifted = {f"_s{k}": F.slice("_w", k + 1, many) for k in range(size)}
+    runs = F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws(" ", *[z[c] for c in shifted]))
+    out = docs.withColumn("_w", T.norm_words("text")).withColumns(shifted)
+    return out.withColumn("shingles", F.array_distinct(runs)).drop("_w", *shifted)
 
 
 def hashed_shingles(docs: DataFrame) -> DataFrame:

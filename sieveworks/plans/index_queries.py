@@ -59,13 +59,12 @@ def q_export_report(spark, d):
 
 
 def _questions(spark, d):
-    q = tables.table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "question", "text")
-    return q.select("query_id", F.concat_ws(" ", "question", "text").alias("question"))
+    return tables.table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "question")
 
 
 def q_bm25(spark, d):
     c = tables.chunks(spark, d).select("chunk_id", "text")
-    return retrieval.bm25(c, _questions(spark, d)).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return retrieval.bm25(c, _questions(spark, d)).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def q_before_after(spark, d):
@@ -208,10 +207,10 @@ ORACLE = {
     "export_tokens": f"WITH {CHUNKS_SQL}, w AS (SELECT chunk_id, len(regexp_extract_all(text, '{W}')) AS n FROM c) SELECT chunk_id, CAST(round_even(n * 1.33, 0) AS BIGINT) AS tokens, round_even(n * 1.33, 0) > 512 AS oversize, n < 5 AS tiny FROM w",
     "export_duplicates": f"WITH {CHUNKS_SQL}, k AS (SELECT chunk_id, i, sha1(lower(trim(regexp_replace(text, '[{SP}]+', ' ', 'g')))) AS h FROM c WHERE len(regexp_extract_all(text, '{W}')) >= 5), r AS (SELECT *, first_value(chunk_id) OVER (PARTITION BY h ORDER BY i, chunk_id) AS first_id, count(*) OVER (PARTITION BY h) AS copies FROM k) SELECT chunk_id, first_id, copies FROM r WHERE chunk_id <> first_id",
     "export_sources": f"WITH {CHUNKS_SQL} SELECT coalesce(source, '(no source)') AS src, count(*) AS chunks, count(*) FILTER (\"order\" IS NULL) AS without_order FROM c GROUP BY ALL",
-    "bm25_topk": f"""WITH {CHUNKS_SQL}, q AS (SELECT item_id AS query_id, unnest(list_distinct({TERMS_SQL.format("question || ' ' || text")})) AS term FROM eval_items), l AS (SELECT chunk_id, {TERMS_SQL.format("text")} AS w FROM c),
+    "bm25_topk": f"""WITH {CHUNKS_SQL}, q AS (SELECT item_id AS query_id, unnest(list_distinct({TERMS_SQL.format("question")})) AS term FROM eval_items), l AS (SELECT chunk_id, {TERMS_SQL.format("text")} AS w FROM c),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avg FROM l), p AS (SELECT chunk_id, len(w) AS len, unnest(w) AS term FROM l), tf AS (SELECT term, chunk_id, len, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY ALL)
-SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 3""",
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 3""",
     "doc_scores": SCORES_SQL + " SELECT path, CAST(score AS BIGINT) AS score, penalty FROM sc",
     "corpus_report": SCORES_SQL + f""", c AS (SELECT coalesce(sum(CASE WHEN coalesce(path, '') IN ('', '(corpus)') AND NOT ("check" LIKE 'version-conflict%' AND len(coalesce(related, [])) > 0) THEN floor(least({WEIGHT_SQL}, {CAP_SQL}) / 2) ELSE 0 END), 0) AS k, count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warn') AS n_warn, count(*) FILTER (severity = 'info') AS n_info FROM f),
 m AS (SELECT greatest(0, CAST(round_even(avg(score), 0) AS BIGINT) - any_value(k)) AS raw, count(*) AS documents, any_value(n_error) AS n_error, any_value(n_warn) AS n_warn, any_value(n_info) AS n_info FROM sc, c)
