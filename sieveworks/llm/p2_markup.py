@@ -55,7 +55,7 @@ _MD = re.compile(
     r"|^\[[^\]\n]+\]: \S+$|^ {0,3}(?:- |\* )\[[ xX]\] |^ {0,3}>+ ?(?=\S)|^[ |:-]*-{3,}[ |:-]*\|[ |:-]*$|^\|[ |:-]*-{3,}[ |:-]*$",
     re.M,
 )
-_SETEXT = re.compile(r"^(?=[^\n|]*\w)([^\n|]{2,})\n(={3,}|-{3,})[ \t]*$", re.M)
+_SETEXT = re.compile(r"^(?=[^\n|]*\w)([^\n|]+)\n(={3,}|-{3,})[ \t]*$", re.M)
 _ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$", re.M)
 _STAR = re.compile(r"^[ \t]*[*+][ \t]+(?=\S)", re.M)
 _WIKI = re.compile(

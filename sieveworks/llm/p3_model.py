@@ -20,7 +20,7 @@ def _char_table() -> np.ndarray:
     out = np.full(0x3000, OTHER, np.uint8)
     for code in range(0x3000):
         ch = chr(code)
-        if ch in "\n\r  \x0b\x0c\x85":
+        if ch in " \n\r\x0b\x0c\x85":  # blanks and line ends are one class: texts are wrapped anywhere
             out[code] = BREAK
             continue
         base = unicodedata.normalize("NFKD", ch)[:1]

@@ -39,7 +39,7 @@ def strength(left: str, right: str) -> int:
     3 a sentence, 2 a line or clause, 1 a word, 0 inside a word."""
     gap = left[len(left.rstrip()) :]
     breaks = gap.count("\n") or gap.count("\r")
-    if breaks > 1 or "\x0c" in gap or " " in gap:
+    if breaks > 1 or "\x0c" in gap or "\u2029" in gap:
         return 5
     ended = bool(_SENTENCE.search(left))
     if breaks:

@@ -32,8 +32,8 @@ from sieveworks.storage import materialize, table
 SUBJECTS = ["science", "law", "sport", "software", "finance", "health", "travel", "energy", "food", "education"]
 MAX_LABELLED = 20_000
 MAX_SETS = 500_000
-#: a telling word occurs this often, and with its best subject so many times as often as words do on average
-MIN_COUNT, MIN_LIFT = 4, 3.0
+#: a telling word occurs this often, and closes this part of the gap between a subject's share and certainty
+MIN_COUNT, MIN_GAIN = 4, 0.22
 #: least share of the sentences a frequent set occurs in
 MIN_SUPPORT = 0.0003
 #: evidence of more than one sentence; what is mentioned once in passing stays below
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> RuleMod
     prior = {c: whole.get(c, 0) / everything for c in SUBJECTS}
     telling = sorted(
         r["w"] for r in rows
-        if max((k + 10 * prior[c]) / (r["n"] + 10) / prior[c] for c, k in r["by"].items()) >= MIN_LIFT
+        if max((k + 10 * prior[c]) / (r["n"] + 10) - prior[c] - MIN_GAIN * (1 - prior[c]) for c, k in r["by"].items()) >= 0
     )
     if not telling:
         return model
@@ -190,7 +190,7 @@ def _rules(freq: dict[frozenset, int], prior: dict[str, float]) -> dict[str, lis
             conf[need, c] = (k + 3 * prior.get(c, 0.0)) / (freq[need] + 3)
     out: dict[str, list[tuple[frozenset, int, float]]] = defaultdict(list)
     for (need, c), p in conf.items():
-        if p < 0.3 or p < 2 * prior.get(c, 0.0):
+        if p < 0.3 or p < prior.get(c, 0.0) + MIN_GAIN * (1 - prior.get(c, 0.0)):
             continue
         general = max((conf.get((need - {w}, c), 0.0) for w in need), default=0.0) if len(need) > 1 else 0.0
         if general >= p - 0.02:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 _WORD = re.compile(r"[^\W_]+")
-_LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
+_LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 #: a line ``Name: value``: a name without colon, a colon, white space and a value holding a letter or digit
 _FIELD = re.compile(r"[^\w:]*[^\W_][^:]*:\s+.*[^\W_].*\Z")
 
