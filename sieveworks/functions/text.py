@@ -80,14 +80,23 @@ def is_table_row(line: str | Column, allow_pipes: Column | bool = True) -> Colum
     """Cells joined by bars, three cells apart by tabs or wide gaps with a number, or mostly numbers."""
     raw = strip(line)
     s = F.regexp_replace(raw, BULLET, "")
+    return table_row_of(raw, s, words(s), allow_pipes)
+
+
+def table_row_of(raw: Column, s: Column, toks: Column, allow_pipes: Column | bool = True) -> Column:
+    """The rule itself over the stripped line, the line without its bullet and its words.
+
+    Callers with many lines make these columns first, so that no rule computes them again.
+    """
     allow = F.lit(allow_pipes) if isinstance(allow_pipes, bool) else allow_pipes
     cells = F.split(F.regexp_replace(s, r"^\|+|\|+$", ""), r"\|")
-    piped = allow & s.contains("|") & ~s.contains("||") & (F.size(cells) >= 2) & F.exists(cells, lambda x: strip(x) != "")
+    piped = F.when(allow & s.contains("|"), ~s.contains("||") & (F.size(cells) >= 2) & F.exists(cells, lambda x: strip(x) != "")).otherwise(False)
     gaps = F.filter(F.split(s, r"\t+| {2,}"), lambda x: x != "")
-    gapped = s.rlike(r"\t|  ") & (F.size(gaps) >= 3) & F.exists(gaps, lambda x: is_number_token(strip(x)))
-    toks = words(s)
+    gapped = F.when(s.rlike(r"\t|  "), (F.size(gaps) >= 3) & F.exists(gaps, lambda x: is_number_token(strip(x)))).otherwise(False)
+    # tokens that hold no digit, dash or n/a are no numbers: with too few left the tokens need no closer look
     numbers = F.size(F.filter(toks, is_number_token))
-    numeric = (F.size(toks) >= 3) & (numbers >= 2) & (numbers / F.greatest(F.size(toks), F.lit(1)) >= 0.5)
+    likely = F.regexp_count(s, F.lit(r"[0-9]+|[-–—]|(?i:n/?a)"))
+    numeric = F.when((F.size(toks) >= 3) & (likely >= 2) & (2 * likely >= F.size(toks)), (numbers >= 2) & (2 * numbers >= F.size(toks))).otherwise(False)
     usable = (raw != "") & (F.length(raw) <= 400) & raw.rlike(r"[|0-9]")
     return F.coalesce(F.when(usable, piped | gapped | numeric), F.lit(False))
 

@@ -43,15 +43,26 @@ def parse_spec(spec: str) -> tuple[str, int, int]:
     return name, size, overlap
 
 
-def word_windows(docs: DataFrame, size: int, overlap: int = 0, c: str = "text") -> DataFrame:
-    """Windows of ``size`` words, in the JVM: a window is started as long as it covers a word not covered yet."""
-    w = T.words(c)
-    n = F.size(w)
+def word_windows(docs: DataFrame, key: str, size: int, overlap: int = 0) -> DataFrame:
+    """(key, text) to (key, chunk_no, first_word, n_words, chunk): windows of ``size`` words.
+
+    A window is started as long as it covers a word not covered yet. Slices of an array column copy the array for
+    every window, so long texts are cut on Arrow batches instead.
+    """
     step = max(1, size - overlap)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda i: (n > 0) & ((i == 0) | (i < n - overlap)))
-    return docs.withColumn("_w", w).select(
-        *docs.columns, F.posexplode(starts).alias("k", "start"), "_w"
-    ).select(*docs.columns, (F.col("k") + 1).alias("chunk_no"), F.col("start").alias("first_word"), F.least(F.lit(size), F.size("_w") - F.col("start")).alias("n_words"), F.array_join(F.slice("_w", F.col("start") + 1, size), " ").alias("chunk"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
+                w = (text or "").split()
+                rows.extend((k, i, at, len(w[at : at + size]), " ".join(w[at : at + size])) for i, at in enumerate((x for x in range(0, len(w), step) if x == 0 or x < len(w) - overlap), 1))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "chunk_no", "first_word", "n_words", "chunk"])
+
+    kind = dict(docs.dtypes)[key]
+    return docs.select(F.col(key).alias("key"), "text").mapInArrow(run, f"key {kind}, chunk_no long, first_word long, n_words long, chunk string").withColumnRenamed("key", key)
 
 
 # ---------------------------------------------------------------- recursive splitter

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveworks.functions import text as T
 from sieveworks.operators import chunking, personal
 from sieveworks.sources.tables import finding
+from sieveworks.storage import materialize
 
 MAX_TOKENS, TINY_WORDS = 8191, 5
 NO_SOURCE = "(no source)"
@@ -55,20 +56,28 @@ def pairs(chunks: DataFrame) -> DataFrame:
     head = F.array_join(F.slice(T.words("goes_on"), 1, 4), " ")
     open_end = (T.strip("text") != "") & ~F.col("text").rlike(TERMINAL)
     last = F.try_element_at(F.filter(T.lines("text"), lambda x: T.strip(x) != ""), F.lit(-1))
-    return c.select("src", "n", "chunk_id", "page", open_end.alias("open_end"), F.when(open_end, chunking.qualifier_of(head)).otherwise("").alias("qualifier"), F.coalesce(T.is_heading(last), F.lit(False)).alias("ends_in_heading"), "text", "next_text")
+    return c.select(
+        "src", "n", "chunk_id", "page", open_end.alias("open_end"), F.when(open_end, chunking.qualifier_of(head)).otherwise("").alias("qualifier"),
+        F.coalesce(T.is_heading(last), F.lit(False)).alias("ends_in_heading"), _table_header().alias("table_header"),
+    )
 
 
-def table_goes_on(p: DataFrame) -> DataFrame:
-    """Pairs whose next chunk opens with two table rows that belong to a table the chunk ends in, without its header."""
+def _table_header():
+    """Header of the table that the chunk ends in, if the next chunk opens with two of its rows and lacks the header."""
     rows = lambda c: F.filter(T.lines(c), lambda x: T.strip(x) != "")
-    nxt, cur = rows("next_text"), rows("text")
+    nxt = rows("next_text")
+    digits_or_bars = F.col("next_text").rlike(r"[|0-9]")
     opens = (F.size(nxt) >= 2) & T.is_table_row(F.try_element_at(nxt, F.lit(1))) & T.is_table_row(F.try_element_at(nxt, F.lit(2)))
-    gated = p.filter(opens)
-    flags = F.transform(cur, lambda x: F.struct(x.alias("s"), T.is_table_row(x).alias("r")))
-    # the rows at the end of the chunk, folded back to the last line that is none
-    run = F.aggregate(flags, F.array().cast("array<string>"), lambda acc, x: F.when(x.r, F.concat(acc, F.array(x.s))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    # the rows at the end of the chunk: a line that is none starts the fold again
+    run = F.aggregate(rows("text"), none, lambda acc, x: F.when(T.is_table_row(x), F.concat(acc, F.array(x))).otherwise(none))
     header = T.strip(F.try_element_at(run, F.lit(1)))
-    return gated.select("src", "n", header.alias("header"), F.size(run).alias("k"), "next_text").filter((F.col("k") >= 2) & ~F.col("next_text").contains(F.col("header"))).select("src", "n", "header")
+    return F.when(digits_or_bars, F.when(opens, F.when((F.size(run) >= 2) & ~F.col("next_text").contains(header), header)))
+
+
+def table_goes_on(p: DataFrame) -> DataFrame:
+    """Pairs whose next chunk continues a table without its header."""
+    return p.filter("table_header is not null").select("src", "n", F.col("table_header").alias("header"))
 
 
 def duplicates(chunks: DataFrame) -> DataFrame:
@@ -80,9 +89,15 @@ def duplicates(chunks: DataFrame) -> DataFrame:
 
 def findings(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """All findings of the export, one row per source and check and one per index-wide check."""
-    p = pairs(chunks)
+    # one pass over pairs and one over chunks leave narrow tables that the checks read
+    p = materialize(pairs(chunks), "pairs")
     o = chunks.withColumn("src", F.coalesce("source", F.lit(NO_SOURCE)))
-    density = o.groupBy("src").agg((F.sum(T.rule_density("text") * F.greatest(T.word_count("text"), F.lit(1))) / F.greatest(F.sum(T.word_count("text")), F.lit(1))).alias("density"))
+    w = T.word_count("text")
+    flags = materialize(o.select(
+        "src", (tokens() > max_tokens).alias("big"), (w < TINY_WORDS).alias("tiny"), (F.regexp_count("text", F.lit(GARBLED)) >= 3).alias("garbled"), F.col("source").isNull().alias("bare"),
+        F.greatest(w, F.lit(1)).alias("w"), T.rule_density("text").alias("d"),
+    ), "flags")
+    density = flags.groupBy("src").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("density"))
     split = p.filter("qualifier <> ''").groupBy("src").agg(F.count(F.lit(1)).alias("k"), F.array_join(F.slice(F.array_sort(F.collect_set("qualifier")), 1, 3), ", ").alias("q"), F.min("n").alias("n")).join(density, "src")
     count = lambda df: df.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
     src = F.col("src")
@@ -90,12 +105,12 @@ def findings(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
         split.select(*finding("chunk-split", F.when(F.col("density") >= 10, "warn").otherwise("info"), ["F7"], F.format_string("%d chunks end before their condition (%s)", "k", "q"), src, F.format_string("chunk %d", "n"))),
         count(p.filter("ends_in_heading")).select(*finding("chunk-orphan-heading", "info", ["F7"], F.format_string("%d chunks end with a heading", "k"), src)),
         count(table_goes_on(p)).select(*finding("chunk-table-split", "warn", ["F7"], F.format_string("%d chunks continue a table without its header", "k"), src)),
-        count(o.filter(tokens() > max_tokens)).select(*finding("chunk-oversize", "warn", ["F7", "F20"], F.format_string("%d chunks exceed the token limit", "k"), src)),
-        count(o.filter(T.word_count("text") < TINY_WORDS)).select(*finding("chunk-tiny", "info", ["F11"], F.format_string("%d near-empty chunks", "k"), src)),
-        count(o.filter(F.regexp_count("text", F.lit(GARBLED)) >= 3)).select(*finding("extraction-garbled", "warn", ["F3"], F.format_string("%d chunks with garbled characters", "k"), src)),
+        count(flags.filter("big")).select(*finding("chunk-oversize", "warn", ["F7", "F20"], F.format_string("%d chunks exceed the token limit", "k"), src)),
+        count(flags.filter("tiny")).select(*finding("chunk-tiny", "info", ["F11"], F.format_string("%d near-empty chunks", "k"), src)),
+        count(flags.filter("garbled")).select(*finding("extraction-garbled", "warn", ["F3"], F.format_string("%d chunks with garbled characters", "k"), src)),
         personal.findings(personal.hits(o.select(src.alias("path"), F.lit("chunks").alias("fmt"), F.lit(1).alias("page"), F.lit(0).alias("line_offset"), "text")), is_export=True),
         duplicates(chunks).agg(F.count(F.lit(1)).alias("k")).filter("k > 0").select(*finding("chunk-duplicate", "warn", ["F1"], F.format_string("%d duplicate chunks in the index", "k"), "(index)")),
-        o.filter("source is null").agg(F.count(F.lit(1)).alias("k")).filter("k > 0").select(*finding("chunk-no-source", "warn", ["F21", "F33"], F.format_string("%d chunks have no source", "k"), "(index)")),
+        flags.filter("bare").agg(F.count(F.lit(1)).alias("k")).filter("k > 0").select(*finding("chunk-no-source", "warn", ["F21", "F33"], F.format_string("%d chunks have no source", "k"), "(index)")),
     ]
     out = parts[0]
     for x in parts[1:]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.functions import text as T
 from sieveworks.sources.tables import finding
+from sieveworks.storage import materialize
 
 #: function words of seven languages (fixed values)
 STOPWORDS = (
@@ -73,19 +74,25 @@ def page_ranges(numbers: Column, most: int = 8) -> Column:
 def table_lines(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Non-blank lines with their number and whether they look like a table row."""
     pipes = (F.col("fmt") != "md") if "fmt" in docs.columns else F.lit(True)
-    rows = docs.select(*keys, pipes.alias("pipes"), F.posexplode(T.lines("text")).alias("line", "s")).filter(T.strip("s") != "")
-    return rows.select(*keys, "line", "s", T.is_table_row("s", F.col("pipes")).alias("is_row"))
+    rows = docs.select(*keys, pipes.alias("pipes"), F.posexplode(T.lines("text")).alias("line", "s")).filter(F.col("s").rlike(f"[^{T.SPACE}]"))
+    rows = rows.withColumn("_raw", T.strip("s"))
+    rows = rows.withColumn("_s", F.when(F.col("_raw").rlike(r"[|0-9]"), F.regexp_replace("_raw", T.BULLET, "")))
+    rows = rows.withColumn("_w", T.words("_s"))
+    return rows.select(*keys, "line", "s", T.table_row_of(F.col("_raw"), F.col("_s"), F.col("_w"), F.col("pipes")).alias("is_row"))
 
 
-def table_runs(docs: DataFrame, keys: list[str], min_rows: int = 4) -> DataFrame:
+def runs_of(lines: DataFrame, keys: list[str], min_rows: int = 4) -> DataFrame:
     """Maximal runs of table rows (gaps and islands over non-blank lines): first line, last line, rows."""
     w = Window.partitionBy(*keys).orderBy("line")
-    numbered = table_lines(docs, keys).withColumn("island", F.sum((~F.col("is_row")).cast("long")).over(w))
-    return (
-        numbered.filter("is_row").groupBy(*keys, "island")
-        .agg(F.min("line").cast("long").alias("first_line"), F.max("line").cast("long").alias("last_line"), F.count(F.lit(1)).alias("n_rows"), F.min_by("s", "line").alias("header"))
-        .filter(F.col("n_rows") >= min_rows).drop("island")
-    )
+    numbered = lines.withColumn("island", F.sum((~F.col("is_row")).cast("long")).over(w))
+    runs = numbered.filter("is_row").groupBy(*keys, "island").agg(
+        F.min("line").cast("long").alias("first_line"), F.max("line").cast("long").alias("last_line"), F.count(F.lit(1)).alias("n_rows"), *([F.min_by("s", "line").alias("header")] if "s" in lines.columns else [])
+    )
+    return runs.filter(F.col("n_rows") >= min_rows).drop("island")
+
+
+def table_runs(docs: DataFrame, keys: list[str], min_rows: int = 4) -> DataFrame:
+    return runs_of(table_lines(docs, keys), keys, min_rows)
 
 
 def page_stats(pages: DataFrame) -> DataFrame:
@@ -98,6 +105,7 @@ def page_stats(pages: DataFrame) -> DataFrame:
 
 def findings(pages: DataFrame) -> DataFrame:
     """Scanned, empty, image-heavy, garbled and tabular documents, from one row per page."""
+    pages = materialize(pages.select("path", "fmt", "number", "text", "image_count"), "pages")  # five passes read it
     st = page_stats(pages).withColumn("scanned", (F.col("fmt") == "pdf") & (F.col("images") >= 1) & (F.col("chars") < 25))
     heavy = (F.col("fmt") == "pdf") & ~F.col("scanned") & (F.col("images") >= 3) & (F.col("words") < 80)
     doc = st.groupBy("path", "fmt").agg(
@@ -124,10 +132,11 @@ def findings(pages: DataFrame) -> DataFrame:
         .select(*finding("extraction-garbled", "warn", ["F3"], F.concat(F.lit("Garbled text: "), "what"), F.col("path"), F.when(F.col("fmt") == "pdf", F.col("at")).otherwise(""), fix="Extract again with another parser."))
     )
     keys = ["path", "fmt", "number"]
-    runs = table_runs(text, keys)
+    flagged = materialize(table_lines(text, keys).drop("s"), "lines")
+    runs = runs_of(flagged, keys)
     per_page = runs.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"))
     dense = dense_pages(text.join(runs.select(*keys).distinct(), keys, "left_anti")).select(*keys, F.lit(0).cast("long").alias("n_rows"))
-    lines = table_lines(text, keys).groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
+    lines = flagged.groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
     tables = (
         per_page.unionByName(dense).groupBy("path", "fmt").agg(F.sum("n_rows").alias("rows"), F.count(F.lit(1)).alias("table_pages"), page_ranges(F.collect_list("number")).alias("at"))
         .join(lines, "path").join(doc.select("path", "n_pages"), "path")

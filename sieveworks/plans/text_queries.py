@@ -180,8 +180,8 @@ def q_rule_density(spark, d):
 
 
 def q_word_windows(spark, d):
-    docs = tables.documents(spark, d).select("doc_id", "text")
-    return chunking.word_windows(docs, 120, 20).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.col("first_word").cast("long").alias("first_word"), F.col("n_words").cast("long").alias("n_words"), F.md5("chunk").alias("digest"))
+    w = chunking.word_windows(tables.documents(spark, d), "doc_id", 120, 20)
+    return w.select("doc_id", "chunk_no", "first_word", "n_words", F.md5("chunk").alias("digest"))
 
 
 def q_recursive_chunks(spark, d):

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from sieveworks.storage import table
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores when a scan has fewer splits than there are cores, as one small file has.
+
+    A scan of many splits, the case at scale, is left as it is and shuffles nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest(df: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
     """One row per key, the one delivered last. Rows are reduced before the shuffle."""
     rest = [c for c in df.columns if c != key]
@@ -16,7 +25,7 @@ def latest(df: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one page each."""
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def readable(df: DataFrame) -> DataFrame:
