@@ -65,22 +65,31 @@ def near_pairs(docs: DataFrame, threshold: float = TEXT_SIMILARITY) -> DataFrame
     Exact prefix filtering: sorted by rarity, two sets this similar share one of their first
     ``n - ceil(threshold n) + 1`` shingles, so boilerplate that many documents share is never joined on.
     """
-    reps = materialize(hashed_shingles(representatives(docs)), "shingles")
-    sized = reps.withColumn("n", F.size("s"))
-    flat = sized.select("path", "n", F.explode("s").alias("h"))
-    frequent = flat.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    return similar_pairs(materialize(hashed_shingles(representatives(docs)), "shingles"), threshold)
+
+
+def similar_pairs(sets: DataFrame, threshold: float, *within: str) -> DataFrame:
+    """The join of ``near_pairs`` over sets (path, s), each at most once; only sets with equal ``within`` are compared."""
+    sized = sets.withColumn("n", F.size("s"))
+    flat = sized.select(*within, "path", "n", F.explode("s").alias("h"))
+    frequent = flat.groupBy(*within, "h").agg(F.count(F.lit(1)).alias("df"))
     # rarity of each shingle goes back to its document; ranks within one document need no global order
-    ranked = flat.join(frequent, "h").groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
-    prefix = ranked.select("path", "n", F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("x")).filter("x.df > 1")
-    prefix = materialize(prefix.select("path", "n", F.col("x.h").alias("h")), "prefix")
+    ranked = flat.join(frequent, [*within, "h"]).groupBy(*within, "path", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))
+    # products such as 0.1 * 70 lie a little above the whole number
+    least = lambda n: F.lit(threshold) * n - 1e-9
+    keep = F.col("n") - F.ceil(least(F.col("n"))) + 1
+    prefix = ranked.select(*within, "path", "n", F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("x")).filter("x.df > 1")
+    prefix = materialize(prefix.select(*within, "path", "n", F.col("x.h").alias("h")), "prefix")
     a, b = prefix.alias("a"), prefix.alias("b")
+    on = F.col("a.path") < F.col("b.path")
+    for k in ("h", *within):
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     cand = (
-        a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.path") < F.col("b.path")))
-        .filter((F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n")))
+        a.join(b, on)
+        .filter((F.col("a.n") >= least(F.col("b.n"))) & (F.col("b.n") >= least(F.col("a.n"))))
         .select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b")).distinct()
     )
-    return jaccard(cand, reps).filter(F.col("jaccard") >= threshold)
+    return jaccard(cand, sets.select("path", "s")).filter(F.col("jaccard") >= threshold)
 
 
 def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -120,3 +120,23 @@ def test_export_files(spark, tmp_path):
     q = tmp_path / "q.json"
     q.write_text('["a?", {"question": "b?"}]')
     assert [r["question"] for r in files.read_questions(spark, str(q)).orderBy("query_id").collect()] == ["a?", "b?"]
+
+
+def varied(k, shared, own):
+    """A text of ``shared`` words that all have and ``own`` words of its own."""
+    return " ".join([f"common{i}" for i in range(shared)] + [f"own{k}x{i}" for i in range(own)])
+
+
+def test_large_name_blocks_are_compared(spark, monkeypatch):
+    rows = [(f"north/d{k}/rota-{2001 + k % 20}-v{k}.md", "md", varied(k, 40, 60), {}) for k in range(60)]
+    links, _ = versions.edges(docs(spark, *rows))
+    got = {(r["path_a"], r["path_b"]): round(r["jaccard"], 6) for r in links.collect()}
+    assert len(got) == 60 * 59 // 2 and set(got.values()) == {round(36 / 156, 6)}
+    monkeypatch.setattr(versions.same_names, "__defaults__", (100,))
+    whole, _ = versions.edges(docs(spark, *rows))
+    assert got == {(r["path_a"], r["path_b"]): round(r["jaccard"], 6) for r in whole.collect()}
+
+
+def test_pairs_at_the_threshold(spark):
+    sets = spark.createDataFrame([("a", list(range(70))), ("b", list(range(63, 70))), ("c", [500])], "path string, s array<bigint>")
+    assert [(r["path_a"], r["path_b"], r["jaccard"]) for r in dedup.similar_pairs(sets, 0.1).collect()] == [("a", "b", 0.1)]
