@@ -126,15 +126,19 @@ def lsh_pairs(docs: DataFrame, most: int = MAX_BUCKET) -> DataFrame:
 def components(pairs: DataFrame, a: str = "path_a", b: str = "path_b") -> DataFrame:
     """(node, component): the least node each node is connected to.
 
-    Labels spread along links and jump to their own label's label, so the number of rounds grows with the
-    logarithm of a chain's length; each round is written to shared storage.
+    Each round hooks a node and its label's node to the least label beyond a link, and lets labels jump to their own
+    label's label, so whole regions merge and the rounds grow with about the logarithm of a chain's length. The loop ends
+    when no label changes, which is only where linked nodes agree; each round is written to shared storage.
     """
     links = materialize(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(pairs.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "links")
     label = materialize(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")), "labels")
-    for _ in range(2 + 64):
-        near = links.join(label.select(F.col("u").alias("v"), F.col("c").alias("nc")), "v").groupBy("u").agg(F.min("nc").alias("nc"))
+    while True:
         hop = label.select(F.col("u").alias("c"), F.col("c").alias("hc"))
-        new = label.join(near, "u").join(hop, "c", "left").select("u", F.col("c").alias("old"), F.least("c", "nc", F.coalesce("hc", "c")).alias("c"))
+        far = materialize(label.join(hop, "c").select("u", "c", "hc"), "hops")
+        near = links.join(far.select(F.col("u").alias("v"), F.col("hc").alias("nc")), "v").groupBy("u").agg(F.min("nc").alias("nc"))
+        seen = materialize(far.join(near, "u"), "near")
+        hooks = seen.groupBy(F.col("c").alias("u")).agg(F.min("nc").alias("rc"))
+        new = seen.join(hooks, "u", "left").select("u", F.col("c").alias("old"), F.least("c", "hc", "nc", "rc").alias("c"))
         new = materialize(new, "labels")
         label = new.select("u", "c")
         if new.filter("old <> c").isEmpty():

@@ -1,5 +1,7 @@
 """Scenarios over small documents."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from sieveworks.operators import dedup, export_lint, extraction, metadata, retrieval, scoring, versions
@@ -59,6 +61,14 @@ def test_components_of_a_chain(spark):
     assert set(got.values()) == {"n00", "x"} and len(got) == 33
 
 
+def test_components_of_a_long_shuffled_chain(spark):
+    names = [f"n{k:04d}" for k in range(1000)]
+    random.Random(7).shuffle(names)
+    pairs = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "path_a string, path_b string")
+    got = {r["node"]: r["component"] for r in dedup.components(pairs).collect()}
+    assert len(got) == 1000 and set(got.values()) == {"n0000"}
+
+
 def test_extraction_signals(spark):
     rows = [("s.pdf", "pdf", 1, " ", 2), ("s.pdf", "pdf", 2, "word " * 50, 0), ("g.md", "md", 1, "�" * 6 + " word" * 40, 0), ("e.txt", "txt", 1, "few words", 0), ("n.txt", "txt", 1, None, 0), ("i.docx", "docx", 1, "word " * 40, 6)]
     p = spark.createDataFrame(rows, "path string, fmt string, number int, text string, image_count int")
