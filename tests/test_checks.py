@@ -150,3 +150,33 @@ def test_large_name_blocks_are_compared(spark, monkeypatch):
 def test_pairs_at_the_threshold(spark):
     sets = spark.createDataFrame([("a", list(range(70))), ("b", list(range(63, 70))), ("c", [500])], "path string, s array<bigint>")
     assert [(r["path_a"], r["path_b"], r["jaccard"]) for r in dedup.similar_pairs(sets, 0.1).collect()] == [("a", "b", 0.1)]
+
+
+def test_large_families(spark):
+    body = lambda k: f"{FILLER} Customers must return items within {14 if k == 24 else 30 + k} days of purchase."
+    d = docs(spark, *[(f"refund-policy-{2000 + k}.md", "md", body(k), {}) for k in range(25)])
+    got = versions.findings(d).collect()
+    stale = {r["path"]: r for r in got if r["check"] == "version-stale"}
+    assert set(stale) == {f"refund-policy-{2000 + k}.md" for k in range(24)} and {r["severity"] for r in stale.values()} == {"error"}
+    assert stale["refund-policy-2021.md"]["related"] == ["refund-policy-2024.md", "refund-policy-2023.md", "refund-policy-2022.md"]
+    assert len([r for r in got if r["check"] == "version-conflict"]) == versions.MAX_CONFLICTS
+
+
+def test_large_families_read_as_small_ones(spark):
+    kinds = "path string, date array<int>, version array<int>, marks array<string>, mtime double, status string"
+    groups = {
+        "dates": [("a", [2024, 0, 0], None, [], None, ""), ("b", [2024, 3, 0], None, [], None, "archived"), ("c", [2023, 5, 1], None, [], None, ""), ("d", None, [1], [], None, ""), ("e", [2024, 3, 9], None, [], None, ""), ("f", [2024, 5, 0], None, [], None, "")],
+        "versions": [("a", None, [1, 2], [], None, ""), ("b", None, [1, 10, 0, 1], [], None, ""), ("c", None, [2], [], None, "obsolete")],
+        "words": [("a", None, [1], ["old"], None, ""), ("b", None, None, ["copy", "latest"], None, ""), ("c", None, None, [], None, "")],
+        "times": [("a", None, None, [], 1.7e9, ""), ("b", None, None, [], 1.7e9 + 90_000, ""), ("c", None, None, [], 1.7e9 + 1, "")],
+        "none": [("a", None, [1], [], None, ""), ("b", None, [1], [], 5.0, "retired"), ("c", None, None, [], None, "")],
+    }
+    rows = [(g, *r, 0.5, []) for g, rs in groups.items() for r in rs]
+    got = {(r["group"], r["kind"], r["path"], tuple(r["newer"]), r["ordered"], r["muted"], r["src"]) for r in versions.large_pairing(spark.createDataFrame(rows, f"group string, {kinds}, max_sim double, years array<int>")).collect()}
+    want = set()
+    for g, rs in groups.items():
+        members = [dict(zip([x.split()[0] for x in kinds.split(", ")], r, strict=True)) for r in rs]
+        pairs, stale, src = versions.pairing(members)
+        muted = {x["path"]: x["status"] in versions.SUPERSEDED for x in members}
+        want |= {(g, "pair", a, (b,), known, muted[a] or muted[b], src) for a, b, known in pairs} | {(g, "stale", p, tuple(q), True, muted[p], src) for p, q in stale}
+    assert got == want
