@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sieveworks.operators import dedup, export_lint, extraction, metadata, retrieval, scoring, versions
+from sieveworks.operators import conflicts, dedup, export_lint, extraction, metadata, retrieval, scoring, versions
 from sieveworks.sources import files
 
 SCHEMA = "path string, fmt string, text string, metadata map<string,string>, read_error string, extra int"
@@ -180,3 +180,16 @@ def test_large_families_read_as_small_ones(spark):
         muted = {x["path"]: x["status"] in versions.SUPERSEDED for x in members}
         want |= {(g, "pair", a, (b,), known, muted[a] or muted[b], src) for a, b, known in pairs} | {(g, "stale", p, tuple(q), True, muted[p], src) for p, q in stale}
     assert got == want
+
+
+def test_conflicts_beyond_4000_statements():
+    word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    body = " ".join(f"Item q{word(k)} r{word(k)} s{word(k)} is kept here." for k in range(4100))
+    got = conflicts.conflicts(f"{body} Customers must return items within 30 days.", f"{body} Customers must return items within 14 days.", set())
+    assert [r for *_, r in got] == ["different values for 'day': 30 vs 14"]
+
+
+def test_statements_of_common_words_alone():
+    body = [f"The visitor pays {k} dollars in hall number {k}." for k in range(400)]
+    old, new = " ".join([*body, "The visitor pays 900 dollars in hall."]), " ".join([*body, "The visitor pays 950 dollars in hall."])
+    assert ("The visitor pays 900 dollars in hall.", "The visitor pays 950 dollars in hall.") in {(a, b) for a, b, _ in conflicts.conflicts(old, new, set())}
