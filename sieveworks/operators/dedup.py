@@ -65,35 +65,43 @@ def near_pairs(docs: DataFrame, threshold: float = TEXT_SIMILARITY) -> DataFrame
     Exact prefix filtering: sorted by rarity, two sets this similar share one of their first
     ``n - ceil(threshold n) + 1`` shingles, so boilerplate that many documents share is never joined on.
     """
-    return similar_pairs(materialize(hashed_shingles(representatives(docs)), "shingles"), threshold)
+    sets = materialize(hashed_shingles(representatives(docs)), "shingles")
+    return jaccard(candidates(sets, threshold), sets).filter(F.col("jaccard") >= threshold)
 
 
-def similar_pairs(sets: DataFrame, threshold: float, *within: str) -> DataFrame:
-    """The join of ``near_pairs`` over sets (path, s), each at most once; only sets with equal ``within`` are compared."""
+def candidates(sets: DataFrame, threshold: float, *within: str) -> DataFrame:
+    """The prefix join of ``near_pairs`` over sets (path, s): a pair of at least ``threshold`` is always among its pairs.
+
+    Only sets with equal ``within`` are compared. Shingles of one set come first in its order and join nothing, so their
+    number is enough.
+    """
     sized = sets.withColumn("n", F.size("s"))
     flat = sized.select(*within, "path", "n", F.explode("s").alias("h"))
-    frequent = flat.groupBy(*within, "h").agg(F.count(F.lit(1)).alias("df"))
+    frequent = flat.groupBy(*within, "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # rarity of each shingle goes back to its document; ranks within one document need no global order
     ranked = flat.join(frequent, [*within, "h"]).groupBy(*within, "path", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))
     # products such as 0.1 * 70 lie a little above the whole number
     least = lambda n: F.lit(threshold) * n - 1e-9
     keep = F.col("n") - F.ceil(least(F.col("n"))) + 1
-    prefix = ranked.select(*within, "path", "n", F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("x")).filter("x.df > 1")
+    rest = F.greatest(keep - (F.col("n") - F.size("r")), F.lit(0))
+    prefix = ranked.select(*within, "path", "n", F.explode(F.slice("r", F.lit(1), rest.cast("int"))).alias("x"))
     prefix = materialize(prefix.select(*within, "path", "n", F.col("x.h").alias("h")), "prefix")
     a, b = prefix.alias("a"), prefix.alias("b")
     on = F.col("a.path") < F.col("b.path")
     for k in ("h", *within):
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    cand = (
+    return (
         a.join(b, on)
         .filter((F.col("a.n") >= least(F.col("b.n"))) & (F.col("b.n") >= least(F.col("a.n"))))
         .select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b")).distinct()
     )
-    return jaccard(cand, sets.select("path", "s")).filter(F.col("jaccard") >= threshold)
 
 
 def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact similarity of candidate pairs; ``sets`` has (path, s)."""
+    pairs = materialize(pairs, "candidates")
+    ends = pairs.select(F.col("path_a").alias("path")).union(pairs.select("path_b"))
+    sets = sets.join(ends, "path", "left_semi")  # sets in no pair are not moved
     both = pairs.join(sets.select(F.col("path").alias("path_a"), F.col("s").alias("sa")), "path_a").join(
         sets.select(F.col("path").alias("path_b"), F.col("s").alias("sb")), "path_b"
     )

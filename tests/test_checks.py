@@ -149,7 +149,7 @@ def test_large_name_blocks_are_compared(spark, monkeypatch):
 
 def test_pairs_at_the_threshold(spark):
     sets = spark.createDataFrame([("a", list(range(70))), ("b", list(range(63, 70))), ("c", [500])], "path string, s array<bigint>")
-    assert [(r["path_a"], r["path_b"], r["jaccard"]) for r in dedup.similar_pairs(sets, 0.1).collect()] == [("a", "b", 0.1)]
+    assert [(r["path_a"], r["path_b"], r["jaccard"]) for r in dedup.jaccard(dedup.candidates(sets, 0.1), sets).collect()] == [("a", "b", 0.1)]
 
 
 def test_large_families(spark):
