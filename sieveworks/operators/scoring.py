@@ -147,8 +147,12 @@ def tag(c: str = "check") -> Column:
     return F.coalesce(lookup(c, TAGS), F.left(F.upper(F.col(c)), F.lit(12)))
 
 
-def pages_of(location: str | Column) -> Column:
-    """Page numbers named in a location such as 'p.4–7, 9; p.12, line 5'; ranges are cut at 2000 pages."""
+#: pages of a range that are one array
+PAGE_STEP = 2000
+
+
+def ranges_of(location: str | Column) -> Column:
+    """First and last page of each range named in a location such as 'p.4–7, 9; p.12, line 5'."""
     loc = F.col(location) if isinstance(location, str) else location
     groups = F.regexp_extract_all(F.coalesce(loc, F.lit("")), F.lit("p\\.[ ]?([0-9]+(?:[ ]?[–-][ ]?[0-9]+)?(?:, ?[0-9]+(?:[ ]?[–-][ ]?[0-9]+)?)*)"), 1)
     parts = F.filter(F.flatten(F.transform(groups, lambda g: F.split(g, ", ?"))), lambda x: x != "")
@@ -156,10 +160,22 @@ def pages_of(location: str | Column) -> Column:
     def span(x: Column) -> Column:
         ends = F.split(x, "[ ]?[–-][ ]?")
         a = F.try_element_at(ends, F.lit(1)).cast("int")
-        b = F.least(F.coalesce(F.try_element_at(ends, F.lit(2)).cast("int"), a), a + 2000)
-        return F.when(b >= a, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<int>"))
+        b = F.coalesce(F.try_element_at(ends, F.lit(2)).cast("int"), a)
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    return F.filter(F.transform(parts, span), lambda x: x.b >= x.a)
+
+
+def pages_of(location: str | Column) -> Column:
+    """All page numbers of a location as one array, for short ranges; ``pages`` reads long ones."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(ranges_of(location), lambda x: F.sequence(x.a, x.b)))))
+
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, span))))
+def pages(findings: DataFrame, location: str = "location") -> DataFrame:
+    """Adds ``page``, one row per page of each range; a long range is read in steps, so that no row holds all of it."""
+    r = findings.withColumn("_r", F.explode(ranges_of(location)))
+    r = r.withColumn("_p", F.explode(F.sequence(F.col("_r.a"), F.col("_r.b"), F.lit(PAGE_STEP))))
+    return r.withColumn("page", F.explode(F.sequence("_p", F.least(F.col("_r.b"), F.col("_p") + (PAGE_STEP - 1))))).drop("_r", "_p")
 
 
 def graph_edges(findings: DataFrame) -> DataFrame:

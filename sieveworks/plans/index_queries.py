@@ -151,7 +151,7 @@ def q_top_findings(spark, d):
 
 
 def q_finding_pages(spark, d):
-    return _findings(spark, d).select("path", scoring.category().alias("category"), F.explode(scoring.pages_of("location")).alias("page")).distinct()
+    return scoring.pages(_findings(spark, d)).select("path", scoring.category().alias("category"), "page").distinct()
 
 
 def q_graph_edges(spark, d):

@@ -70,7 +70,7 @@ def to_html(docs: DataFrame, report: DataFrame, findings: DataFrame, root: str,
     cards = "".join(f"<div class=card><b>{n}</b> {e(TITLES[c])}</div>" for c, n in sorted(cats.items(), key=lambda x: -x[1]))
     nodes = scoring.graph_nodes(docs, findings).filter("status <> 'clean'").orderBy(F.desc("n_error"), F.desc("n_warn"), "path").limit(limit).collect()
     edges = scoring.graph_edges(findings).orderBy("a", "b", "kind").limit(limit).collect()
-    heat = findings.filter("severity <> 'info'").select("path", F.explode(scoring.pages_of("location")).alias("page")).groupBy("path", "page").agg(F.count(F.lit(1)).alias("n")).orderBy("path", "page").limit(limit).collect()
+    heat = scoring.pages(findings.filter("severity <> 'info'").withColumn("id", F.monotonically_increasing_id())).select("id", "path", "page").distinct().groupBy("path", "page").agg(F.count(F.lit(1)).alias("n")).orderBy("path", "page").limit(limit).collect()
     rows = "".join(f"<tr class={x['severity']}><td>{e(x['tag'])}<td>{e(_where(x))}<td>{e(x['title'])}<td>{e(x['fix'])}" for x in shown(findings, limit, info=True))
     data = json.dumps({"nodes": [n.asDict() for n in nodes], "edges": [x.asDict() for x in edges], "pages": [h.asDict() for h in heat]}, ensure_ascii=False).replace("</", "<\\/")
     return (

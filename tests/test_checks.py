@@ -193,3 +193,9 @@ def test_statements_of_common_words_alone():
     body = [f"The visitor pays {k} dollars in hall number {k}." for k in range(400)]
     old, new = " ".join([*body, "The visitor pays 900 dollars in hall."]), " ".join([*body, "The visitor pays 950 dollars in hall."])
     assert ("The visitor pays 900 dollars in hall.", "The visitor pays 950 dollars in hall.") in {(a, b) for a, b, _ in conflicts.conflicts(old, new, set())}
+
+
+def test_long_page_ranges(spark):
+    f = spark.createDataFrame([("p.1–5000",), ("p.7, 9 - 10; p.12, line 5",), ("p.9–3",), ("",), (None,)], "location string")
+    got = [(r["location"], r["page"]) for r in scoring.pages(f).collect()]
+    assert sorted(got) == sorted([("p.1–5000", k) for k in range(1, 5001)] + [("p.7, 9 - 10; p.12, line 5", k) for k in (7, 9, 10, 12)])
