@@ -6,8 +6,9 @@ words and the subjects of its document. Parallel frequent-pattern growth finds t
 best-matching rules' calibrated confidence as evidence; a document's subjects are those whose share of the evidence
 passes thresholds fitted on the labelled documents.
 
-The model is fitted on at most ``MAX_LABELLED`` documents, chosen by a hash of their id; rules are bounded by
-``MAX_SETS``. Documents are scored where they are read: no text is shuffled, but for the labelled sample.
+The model is fitted on at most ``MAX_LABELLED`` documents, chosen by a hash of their id: that parameter alone bounds
+it. A term, and a set of terms, counts from one and the same share of the sentences on, so that ten times the labels give
+the same rules. Documents are scored where they are read: no text is shuffled, but for the labelled sample.
 
 Defined results: labels are matched without regard to case and outer blanks, unknown or null ones are ignored and
 equal ones count once; null, empty and purely clerical texts have no subject; without any usable label the result is
@@ -16,10 +17,12 @@ empty; a document delivered twice counts once; ties are resolved in the order of
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -31,11 +34,15 @@ from sieveworks.storage import materialize, table
 
 SUBJECTS = ["science", "law", "sport", "software", "finance", "health", "travel", "energy", "food", "education"]
 MAX_LABELLED = 20_000
-MAX_SETS = 500_000
-#: a telling word occurs this often, and closes this part of the gap between a subject's share and certainty
-MIN_COUNT, MIN_GAIN = 4, 0.22
-#: least share of the sentences a frequent set occurs in
-MIN_SUPPORT = 0.0003
+#: a telling term closes this part of the gap between a subject's share and certainty
+MIN_GAIN = 0.22
+#: least share of the labelled sentences that a telling term, and a rule's set of them, occurs in; and the least number
+#: of sentences, which only binds where there are fewer than MIN_COUNT / MIN_SUPPORT of them
+MIN_SUPPORT, MIN_COUNT = 0.0002, 4
+#: terms of one rule
+MAX_TERMS = 4
+#: documents of each part that thresholds are fitted on while the others give the rules
+FOLDS = 4
 #: evidence of more than one sentence; what is mentioned once in passing stays below
 LEAST = 1.0
 WINDOW = 20
@@ -44,33 +51,52 @@ _CUT = re.compile(r"(?<=[.!?;])\s+|[\n\r]+|\|")
 _TERM = re.compile(r"[^\W\d_]{2,}")
 
 
-def sentences(text: str | None) -> list[set[str]]:
-    """Terms of each sentence: its words, and pairs of neighbours among words of four letters or more.
+def pieces(text: str | None) -> Iterator[list[str]]:
+    """Words of each sentence; runs without punctuation are cut into windows."""
+    for part in _CUT.split(fold(text)) if text else ():
+        found = _TERM.findall(part)
+        if len(found) > WINDOW + 10:
+            yield from (found[i : i + WINDOW] for i in range(0, len(found), WINDOW))
+        elif found:
+            yield found
 
-    Runs without punctuation are cut into windows.
-    """
+
+def sentences(text: str | None) -> list[set[str]]:
+    """Terms of each sentence: its words, and pairs of neighbours among words of four letters or more."""
     out = []
-    for part in _CUT.split(fold(text)) if text else []:
-        found = _TERM.findall(part)
-        for i in range(0, len(found), WINDOW) if len(found) > WINDOW + 10 else range(min(1, len(found))):
-            piece = found[i : i + WINDOW] if len(found) > WINDOW + 10 else found
-            long = [w for w in piece if len(w) > 3]
-            out.append({*piece, *map("_".join, zip(long, long[1:], strict=False))})
+    for piece in pieces(text):
+        long = [w for w in piece if len(w) > 3]
+        out.append({*piece, *map("_".join, zip(long, long[1:], strict=False))})
     return out
 
 
 @dataclass
 class RuleModel:
-    """Rules by their first word: (words, subject number, calibrated confidence)."""
+    """Rules by their first term: (terms, subject number, calibrated confidence)."""
 
     rules: dict[str, list[tuple[frozenset, int, float]]] = field(default_factory=dict)
     first_share: float = 0.5
     second_share: float = 0.3
     least: float = LEAST
 
+    def __post_init__(self) -> None:
+        terms = {w for at in self.rules.values() for need, _, _ in at for w in need}
+        #: single words of the rules, and the second words of their pairs by the first
+        self.words = frozenset(w for w in terms if "_" not in w)
+        self.follows: dict[str, set[str]] = defaultdict(set)
+        for a, _, b in (w.partition("_") for w in terms if "_" in w):
+            self.follows[a].add(b)
+
     def evidence(self, text: str | None) -> list[float]:
         total = [0.0] * len(SUBJECTS)
-        for have in sentences(text):
+        words, follows = self.words, self.follows
+        for piece in pieces(text):
+            # only what some rule asks for is looked up: joining every pair of neighbours would cost more than the rest
+            have = words.intersection(piece)
+            heads = follows.keys() & set(piece)
+            if heads:
+                long = [w for w in piece if len(w) > 3]
+                have = have.union(f"{a}_{b}" for a, b in zip(long, long[1:], strict=False) if a in heads and b in follows[a])
             best: dict[int, float] = {}
             for w in have:
                 for need, c, conf in self.rules.get(w, ()):
@@ -112,7 +138,7 @@ def _transactions(docs: DataFrame) -> DataFrame:
 def _items(tx: DataFrame, telling: frozenset) -> DataFrame:
     """Telling terms and subjects of each sentence that has a telling term.
 
-    A telling pair stands for its words: their joint sets would only repeat it.
+    Words stay beside the pairs they form: a pair may be too rare for a rule of its own.
     """
     shared = tx.sparkSession.sparkContext.broadcast(telling)
 
@@ -122,7 +148,6 @@ def _items(tx: DataFrame, telling: frozenset) -> DataFrame:
             for labels, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 have = shared.value.intersection(found)
                 if have:
-                    have = have.difference(w for pair in have if "_" in pair for w in pair.split("_"))
                     out.append([*sorted(have), *("=" + x for x in labels)])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["items"])
 
@@ -141,42 +166,43 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Da
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> RuleModel:
-    sample = materialize(labelled(docs, labels, most).dropDuplicates(["doc_id"]), "labelled")
-    model = RuleModel()
+    """Rules of all parts of the labelled documents but one, which gives the thresholds."""
+    sample = labelled(docs, labels, most).dropDuplicates(["doc_id"]).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(FOLDS)))
+    sample = materialize(sample, "labelled")
+    rules = mine(sample.filter("part > 0"))
+    model = RuleModel(rules)
+    if rules:
+        _calibrate(model, sample.filter("part = 0"))
+    return model
+
+
+def mine(sample: DataFrame) -> dict[str, list[tuple[frozenset, int, float]]]:
+    """(text, labels) to the pruned rules."""
     tx = materialize(_transactions(sample), "sentences")
     n = tx.count()
     if n == 0:
-        return model
+        return {}
+    least = max(MIN_COUNT, math.ceil(MIN_SUPPORT * n))
     counts = tx.select(F.explode("words").alias("w"), "labels").select("w", F.explode("labels").alias("c")).groupBy("w", "c").count()
     wide = counts.groupBy("w").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("c", "count"))).alias("by"))
-    rows = wide.filter(F.col("n") >= MIN_COUNT).collect()  # the vocabulary of a bounded sample
-    whole: dict[str, int] = defaultdict(int)
-    for r in rows:
-        for c, k in r["by"].items():
-            whole[c] += k
+    whole = {r["c"]: r["k"] for r in counts.groupBy("c").agg(F.sum("count").alias("k")).collect()}  # ten rows
     everything = sum(whole.values()) or 1
     prior = {c: whole.get(c, 0) / everything for c in SUBJECTS}
-    telling = sorted(
-        r["w"] for r in rows
-        if max((k + 10 * prior[c]) / (r["n"] + 10) - prior[c] - MIN_GAIN * (1 - prior[c]) for c, k in r["by"].items()) >= 0
-    )
+    before = F.create_map(*[F.lit(x) for kv in prior.items() for x in kv])
+    gains = F.transform(F.map_entries("by"), lambda e: (e.value + 10 * before[e.key]) / (F.col("n") + 10) - before[e.key] - MIN_GAIN * (1 - before[e.key]))
+    # each term makes up a share MIN_SUPPORT of the sentences, so sentence length / MIN_SUPPORT bounds them
+    telling = [r["w"] for r in wide.filter((F.col("n") >= least) & (F.array_max(gains) >= 0)).select("w").collect()]
     if not telling:
-        return model
+        return {}
     items = materialize(_items(tx, frozenset(telling)), "transactions")
     m = items.count()
     if m == 0:
-        return model
-    support = max(MIN_COUNT / m, MIN_SUPPORT)
-    while True:
-        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=0.99).fit(items).freqItemsets
-        got = sets.limit(MAX_SETS + 1).collect()
-        if len(got) <= MAX_SETS:
-            break
-        support *= 2  # keeps the rule table bounded
-    freq = {frozenset(r["items"]): r["freq"] for r in got}
-    model.rules = _rules(freq, prior)
-    _calibrate(model, sample)
-    return model
+        return {}
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / m), minConfidence=0.99).fit(items).freqItemsets
+    # sets of one subject make rules, those of none give their totals
+    subjects = F.size(F.filter("items", lambda x: x.startswith("=")))
+    got = sets.filter((subjects <= 1) & (F.size("items") - subjects).between(1, MAX_TERMS)).collect()
+    return _rules({frozenset(r["items"]): r["freq"] for r in got}, prior)
 
 
 def _rules(freq: dict[frozenset, int], prior: dict[str, float]) -> dict[str, list[tuple[frozenset, int, float]]]:
@@ -184,7 +210,7 @@ def _rules(freq: dict[frozenset, int], prior: dict[str, float]) -> dict[str, lis
     for items, k in freq.items():
         classes = [x for x in items if x[0] == "="]
         need = frozenset(x for x in items if x[0] != "=")
-        if len(classes) == 1 and need and len(need) <= 4 and need in freq:
+        if classes and need in freq:
             c = classes[0][1:]
             # shrunk to the prior, so that rare rules claim no more than they showed
             conf[need, c] = (k + 3 * prior.get(c, 0.0)) / (freq[need] + 3)
@@ -192,21 +218,21 @@ def _rules(freq: dict[frozenset, int], prior: dict[str, float]) -> dict[str, lis
     for (need, c), p in conf.items():
         if p < 0.3 or p < prior.get(c, 0.0) + MIN_GAIN * (1 - prior.get(c, 0.0)):
             continue
-        general = max((conf.get((need - {w}, c), 0.0) for w in need), default=0.0) if len(need) > 1 else 0.0
+        general = max((conf.get((frozenset(x), c), 0.0) for k in range(1, len(need)) for x in combinations(need, k)), default=0.0)
         if general >= p - 0.02:
             continue  # a more general rule says as much
         out[min(need)].append((need, SUBJECTS.index(c), p))
-    return {w: sorted(r, key=lambda x: -x[2]) for w, r in out.items()}
+    return {w: sorted(r, key=lambda x: (-x[2], sorted(x[0]))) for w, r in out.items()}
 
 
 def _calibrate(model: RuleModel, sample: DataFrame) -> None:
-    """Thresholds that get most labelled documents wholly right, then the best F1.
+    """Thresholds of the best F1 on documents that gave no rule, then those that get most of them wholly right.
 
     Scored in the tasks; ten numbers a document come back.
     """
     scored = _evidence(sample.select("doc_id", "text", "labels"), model, keep_labels=True).collect()  # bounded sample
     pairs = [(list(r["evidence"]), {SUBJECTS.index(x) for x in r["labels"]}) for r in scored]
-    best: tuple = ((-1, 0.0), 0.5, 0.3)
+    best: tuple = ((-1.0, 0), 0.35, 0.25)
     for first in (0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5):
         for second in (0.2, 0.225, 0.25, 0.275, 0.3, 0.325, 0.35, 0.4):
             model.first_share, model.second_share = first, second
@@ -214,7 +240,7 @@ def _calibrate(model: RuleModel, sample: DataFrame) -> None:
             for e, truth in pairs:
                 got = set(model.choose(e))
                 hit, made, want, right = hit + len(got & truth), made + len(got), want + len(truth), right + (got == truth)
-            gained = (right, 2 * hit / (made + want) if made + want else 0.0)
+            gained = (2 * hit / (made + want) if made + want else 0.0, right)
             if gained > best[0]:
                 best = (gained, first, second)
     _, model.first_share, model.second_share = best

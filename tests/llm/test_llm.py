@@ -263,6 +263,27 @@ def test_subjects(spark):
     assert p9.assign(docs, p9.fit(docs, lab.limit(0))).count() == 0
 
 
+def test_subjects_do_not_depend_on_size(spark):
+    """Ten copies of labels and documents give the same rules and choices: every count is a share."""
+    r = random.Random(6)
+    vocab = {"law": "court filings statutes appeals patents", "sport": "goalkeepers referees matches drills fixtures"}
+    rows = []
+    for k in range(120):
+        words_ = vocab[list(vocab)[k % 2]].split()
+        rows.append((k, " ".join(f"The {r.choice(words_)} {r.choice(WORDS)} of the {r.choice(WORDS)} and the {r.choice(words_)} are kept here." for _ in range(8)), list(vocab)[k % 2]))
+    got = []
+    for times in (1, 10):
+        docs = spark.createDataFrame([(k + 1000 * n, t, s) for n in range(times) for k, t, s in rows], "doc_id long, text string, subject string")
+        p9_support, p9.MIN_SUPPORT = p9.MIN_SUPPORT, 0.02
+        try:
+            model = p9.fit(docs, docs.select("doc_id", "subject"))
+        finally:
+            p9.MIN_SUPPORT = p9_support
+        got.append([model.subjects(t) for _, t, _ in rows])
+    same = [sum([p9.SUBJECTS.index(s)] == x for (_, _, s), x in zip(rows, g, strict=True)) for g in got]
+    assert min(same) >= 114
+
+
 # ---------------------------------------------------------------- empty tables
 def test_empty_tables(spark):
     e = spark.createDataFrame([], REC)
