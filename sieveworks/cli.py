@@ -8,13 +8,15 @@ from datetime import date
 from pathlib import Path
 
 from sieveworks.operators import chunking, export_lint, retrieval, scoring
+from sieveworks import storage
 from sieveworks.plans import report, scan
 
 
-def _session():
+def _session(scratch: str | None = None):
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.appName("sieveworks").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    builder = SparkSession.builder.appName("sieveworks").config("spark.sql.session.timeZone", "UTC")
+    return (builder.config(storage.FOLDER, scratch) if scratch else builder).getOrCreate()
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -27,6 +29,7 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--out")
         s.add_argument("--fail-on", choices=["error", "warn", "info", "never"], default="error")
         s.add_argument("--all", action="store_true")
+        s.add_argument("--scratch", help="folder shared by all executors, where the session names none")
         if name == "scan":
             s.add_argument("--only")
             s.add_argument("--skip", default="")
@@ -38,6 +41,7 @@ def _parser() -> argparse.ArgumentParser:
     ab.add_argument("-q", "--questions", required=True)
     ab.add_argument("--top-k", type=int, default=retrieval.TOP_K)
     ab.add_argument("--chunker", default="langchain")
+    ab.add_argument("--scratch")
     sub.add_parser("explain").add_argument("code")
     sub.add_parser("coverage")
     return p
@@ -64,7 +68,7 @@ def main(argv: list[str] | None = None) -> int:
     if not Path(a.path).exists():
         print(f"no such path: {a.path}", file=sys.stderr)
         return 2
-    spark = _session()
+    spark = _session(a.scratch)
     if a.command == "chunks":
         from sieveworks.sources.files import read_export
 
@@ -84,7 +88,8 @@ def main(argv: list[str] | None = None) -> int:
             from sieveworks.sources.files import read_questions
 
             found, _ = scan.scan(docs, options)
-            size, overlap = chunking.PRESETS["langchain"] if options.chunker != "langchain" else (options.size, options.overlap)
+            name, *sizes = chunking.parse_spec(a.chunker)
+            size, overlap = sizes if name == "langchain" else chunking.PRESETS["langchain"]
             hits = retrieval.compare(retrieval.before_index(docs, size, overlap), retrieval.after_index(docs, found, size, overlap), read_questions(spark, a.questions), a.top_k)
             for x in hits.orderBy("query_id", "side", "rank").limit(10_000).collect():
                 print(f"{x['query_id']}\t{x['side']}\t{x['rank']}\t{x['chunk_id']}\t{x['score']}")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,8 +150,3 @@ def components(pairs: DataFrame, a: str = "path_a", b: str = "path_b") -> DataFr
         if new.filter("old <> c").isEmpty():
             break
     return label.select(F.col("u").alias("node"), F.col("c").alias("component"))
-
-
-def needed(n: int, threshold: float) -> int:
-    """Length of the prefix, for tests."""
-    return n - math.ceil(threshold * n) + 1

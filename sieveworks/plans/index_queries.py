@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sieveworks.functions import text as T
-from sieveworks.operators import chunking, dedup, export_lint, extraction, metadata, personal, retrieval, scoring, versions
+from sieveworks.operators import dedup, export_lint, retrieval, scoring, versions
+from sieveworks.plans import scan
 from sieveworks.plans.text_queries import AS_OF_YEAR, SP, W
 from sieveworks.plans.text_queries import ORACLE as TEXT_ORACLE
 from sieveworks.sources import tables
-from sieveworks.sources.tables import finding
 from sieveworks.storage import materialize
 
 CHUNKS_SQL = "c AS (SELECT * EXCLUDE (source, page), nullif(source, '') AS source, nullif(page, '') AS page FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC) = 1) WHERE text IS NOT NULL)"
@@ -68,14 +68,14 @@ def q_bm25(spark, d):
 
 
 def q_before_after(spark, d):
-    docs = tables.documents(spark, d)
+    docs = tables.corpus(spark, d)
     f = materialize(scan_findings(spark, d), "findings")
     hits = retrieval.compare(retrieval.before_index(docs), retrieval.after_index(docs, f), _questions(spark, d))
     return hits.select("side", "query_id", "rank", "chunk_id", "score")
 
 
 def q_after_index(spark, d):
-    docs = tables.documents(spark, d)
+    docs = tables.corpus(spark, d)
     return retrieval.after_index(docs, materialize(scan_findings(spark, d), "findings")).select("path", "chunk_no", F.md5("chunk").alias("digest"), F.length("chunk").alias("chars"))
 
 
@@ -94,15 +94,8 @@ def q_version_findings(spark, d):
 
 
 def scan_findings(spark, d):
-    """All checks over the documents, as one table of findings."""
-    docs = tables.documents(spark, d)
-    ok = tables.readable(docs)
-    page = ok.select("path", "fmt", "text", F.lit(1).alias("number"), F.lit(0).alias("image_count"), F.lit(1).alias("page"), F.lit(0).alias("line_offset"))
-    bad = docs.filter("read_error is not null").select(*finding("unreadable", "error", ["F2"], F.concat(F.lit("Could not read: "), "read_error"), F.col("path")))
-    parts = [extraction.findings(page), chunking.findings(ok), personal.findings(personal.hits(page)), versions.findings(docs), metadata.findings(ok, AS_OF_YEAR)]
-    for p in parts:
-        bad = bad.unionByName(p)
-    return bad
+    """All checks over documents and files with their pages, as one table of findings."""
+    return scan.findings(tables.corpus(spark, d), scan.Options(AS_OF_YEAR))
 
 
 def q_scan_findings(spark, d):
@@ -111,7 +104,7 @@ def q_scan_findings(spark, d):
 
 def q_scan_report(spark, d):
     f = materialize(scan_findings(spark, d), "findings")
-    return scoring.corpus_report(tables.documents(spark, d), f)
+    return scoring.corpus_report(_docs(spark, d), f)
 
 
 def _findings(spark, d):

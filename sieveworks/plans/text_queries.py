@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sieveworks.functions import text as T
 from sieveworks.operators import chunking, dedup, extraction, metadata, personal
 from sieveworks.sources import tables
+from sieveworks.storage import materialize
 
 AS_OF_YEAR = 2026
 
@@ -189,21 +190,22 @@ def q_recursive_chunks(spark, d):
 
 
 def q_cut_sentences(spark, d):
-    return chunking.cut_sentences(tables.documents(spark, d), "doc_id", 1000, 200).select("doc_id", "chunk_no", "line", "qualifier")
+    ends = chunking.boundaries(tables.documents(spark, d), "doc_id", "langchain:1000:200")
+    return chunking.cut_sentences(ends).select("doc_id", "chunk_no", "line", "qualifier")
 
 
 def q_orphan_headings(spark, d):
     docs = tables.documents(spark, d)
-    return chunking.orphan_headings(chunking.recursive_chunks(docs, "path", 1000, 200), docs)
+    return chunking.orphan_headings(chunking.boundaries(docs, "path", "langchain:1000:200"), docs)
 
 
 def q_split_tables(spark, d):
     docs = tables.documents(spark, d)
-    return chunking.split_tables(chunking.recursive_chunks(docs, "path", 1000, 200), docs)
+    return chunking.split_tables(materialize(chunking.boundaries(docs, "path", "langchain:1000:200").select("path", "chunk_no", "end"), "boundaries"), docs)
 
 
 def q_chunk_findings(spark, d):
-    f = chunking.findings(tables.readable(tables.documents(spark, d)), 1000, 200)
+    f = chunking.findings(tables.readable(tables.documents(spark, d)), "langchain:1000:200")
     return f.select("check", "severity", "title", "path", "location")
 
 

@@ -24,8 +24,8 @@ def latest(df: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one page each."""
-    return spread(table(spark, sf_dir, "documents"))
+    """Documents of one page each; ``mtime`` is the file's time in seconds."""
+    return spread(table(spark, sf_dir, "documents")).withColumn("mtime", F.unix_micros(F.col("modified_at")) / 1_000_000)
 
 
 def readable(df: DataFrame) -> DataFrame:
@@ -38,14 +38,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(table(spark, sf_dir, "pages").select("page_id", "file_id", "number", "text", "image_count", "line_offset", "loaded_at"), "page_id").join(files, "file_id")
 
 
-def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with their pages joined by an empty line."""
-    p = latest(table(spark, sf_dir, "pages").select("page_id", "file_id", "number", "text", "image_count", "loaded_at"), "page_id")
-    joined = p.groupBy("file_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "page_id", "text"))), lambda x: F.coalesce(x.text, F.lit(""))), "\n\n").alias("text"),
-        F.count(F.lit(1)).alias("n_pages"), F.sum(F.greatest(F.coalesce("image_count", F.lit(0)), F.lit(0))).alias("images"),
-    )
-    return table(spark, sf_dir, "kb_files").join(joined, "file_id", "left")
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their pages: those of one page, and the files whose pages are apart, joined by an empty line."""
+    page = lambda text, images, n, offset: F.struct(n.cast("int").alias("number"), text.alias("text"), images.cast("int").alias("image_count"), offset.cast("int").alias("line_offset"))
+    cols = ["path", "fmt", "metadata", "read_error", (F.unix_micros(F.col("modified_at")) / 1_000_000).alias("mtime")]
+    single = table(spark, sf_dir, "documents").select(*cols, F.array(page(F.col("text"), F.lit(0), F.lit(1), F.lit(0))).alias("pages"))
+    p = latest(table(spark, sf_dir, "pages").select("page_id", "file_id", "number", "text", "image_count", "line_offset", "loaded_at"), "page_id")
+    # a file's pages are one row, as in a document that was read from its file
+    joined = p.groupBy("file_id").agg(F.array_sort(F.collect_list(page(F.col("text"), F.greatest(F.coalesce("image_count", F.lit(0)), F.lit(0)), F.col("number"), F.coalesce("line_offset", F.lit(0))))).alias("pages"))
+    files = table(spark, sf_dir, "kb_files").join(joined, "file_id", "left").select(*cols, F.coalesce("pages", F.array().cast(single.schema["pages"].dataType)).alias("pages"))
+    return single.unionByName(files).withColumn("text", F.array_join(F.transform("pages", lambda x: F.coalesce(x.text, F.lit(""))), "\n\n"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,34 +57,53 @@ def test_redaction(spark):
 @pytest.mark.parametrize("stem,key,label,date", [
     ("acme-10k-2023", "acme 10k", "2023", (2023, 0, 0)), ("refund_policy_v2_final", "refund policy", "", None), ("minutes-2024-03-05", "minutes", "2024-03-05", (2024, 3, 5)), ("report Q2 2021", "report", "Q2 2021", (2021, 4, 0)), ("sales fy23", "sales", "FY2023", (2023, 0, 0)), ("doc-0001984", "doc 0001984", "", None),
 ])
-def test_file_names(stem, key, label, date):
-    n = dates.parse_name(stem)
-    assert (n.key, n.label, n.date) == (key, label, date)
+def test_file_names(spark, stem, key, label, date):
+    n = dates.with_name(spark.createDataFrame([(stem,)], "stem string"), "stem").first()
+    assert (n["key"], n["label"], tuple(n["name_date"]) if n["name_date"] else None) == (key, label, date)
+
+
+def test_file_name_parts(spark):
+    n = dates.with_name(spark.createDataFrame([("Copy of Plan v2.1 final (3) march 2021-q3 fy22",)], "stem string"), "stem").first()
+    assert (n["tokens"], n["marks"], n["version"], n["years"], n["fiscal"]) == (["plan"], ["v2.1", "copy", "copy", "final"], [2, 1], [2022, 2021], True)
+    assert n["label"] == "Q3 FY2022 2021 mar" and n["name_date"] == [2022, 3, 0]
+
 
+@pytest.mark.parametrize("s,d", [("2024-3-5", (2024, 3, 5)), ("March 5, 2024", (2024, 3, 5)), ("5 March 2024", (2024, 3, 5)), ("March 2024", (2024, 3, 0)), ("5/6/2024", (2024, 0, 0)), ("in 1999", (1999, 0, 0)), ("2024-13-01", (2024, 0, 0)), ("", None), (None, None)])
+def test_dates(spark, s, d):
+    got = one(spark, dates.parse_date(F.col("s")), s=s)
+    assert (tuple(got) if got else None) == d
 
-@pytest.mark.parametrize("s,d", [("2024-3-5", (2024, 3, 5)), ("March 5, 2024", (2024, 3, 5)), ("5 March 2024", (2024, 3, 5)), ("March 2024", (2024, 3, 0)), ("5/6/2024", (2024, 0, 0)), ("in 1999", (1999, 0, 0)), ("", None), (None, None)])
-def test_dates(s, d):
-    assert dates.parse_date(s) == d
 
+def test_dated_lines(spark):
+    assert one(spark, dates.dated_line(F.col("s")), s="Title\n\n  Effective date: March 1, 2022\nUpdated: 2024-01-01") == [2022, 3, 1]
+    assert one(spark, dates.dated_line(F.col("s")), s="x\n" * 40 + "Effective: 2022-01-01") is None and one(spark, dates.dated_line(F.col("s")), s=None) is None
 
-def test_partial_dates_tie():
-    assert dates.compare([2024, 0, 0], [2024, 3, 1]) == 0
-    assert dates.compare([2023, 0, 0], [2024, 3, 1]) == -1
+
+@pytest.mark.parametrize("a,b,later", [([2024, 0, 0], [2024, 3, 1], False), ([2023, 0, 0], [2024, 3, 1], True), ([2024, 3, 1], [2023, 0, 0], False), ([2024, 3, 0], [2024, 3, 9], False), ([1, 2, 0], [1, 10, 0], True)])
+def test_partial_dates_tie(spark, a, b, later):
+    df = spark.createDataFrame([(a, b)], "a array<int>, b array<int>")
+    assert df.select(dates.newer(F.col("a"), F.col("b")).alias("x")).first()["x"] is later
+
+
+def found_conflicts(spark, old, new, years=()):
+    docs = spark.createDataFrame([("a", old), ("b", new)], "path string, text string")
+    pairs = spark.createDataFrame([(1, "a", "b", list(years))], "pair long, a string, b string, years array<int>")
+    return [(r["old"], r["new"], r["reason"]) for r in conflicts.conflicts(pairs, docs).orderBy("k").collect()]
 
 
 OLD = "Effective: March 1, 2022\n\nCustomers must return items within 30 days of purchase. Members may bring two guests to the lounge. The fee is $35 for each bag."
 NEW = "Effective: March 1, 2024\n\nCustomers must return items within 14 days of purchase. Members may not bring two guests to the lounge. The fee is $35 for each bag."
 
 
-def test_conflicting_statements():
-    found = conflicts.conflicts(OLD, NEW, {2022, 2024})
+def test_conflicting_statements(spark):
+    found = found_conflicts(spark, OLD, NEW, [2022, 2024])
     assert len(found) == 2
     assert "30 vs 14" in found[0][2] and "negation" in found[1][2]
-    assert conflicts.conflicts(OLD, OLD, set()) == [] and conflicts.conflicts(None, NEW, set()) == []
+    assert found_conflicts(spark, OLD, OLD) == [] and found_conflicts(spark, None, NEW) == []
 
 
-def test_a_condition_is_no_negation():
-    assert conflicts.conflicts("The app always checks the booking before the flight leaves.", "If the app never checks the booking before the flight leaves, call us.", set()) == []
+def test_a_condition_is_no_negation(spark):
+    assert found_conflicts(spark, "The app always checks the booking before the flight leaves.", "If the app never checks the booking before the flight leaves, call us.") == []
 
 
 @given(st.text(alphabet="ab .\n", max_size=400), st.integers(5, 60), st.integers(0, 4))
@@ -106,8 +127,42 @@ def test_chunker_specs():
             chunking.parse_spec(bad)
 
 
-def test_cut_before_the_condition():
+def test_statements(spark):
+    text = "# A heading of five words here\nThe fee is\n$1,200.50 for each bag.\n- The limit is 7 hrs and not only 5% per day\nUpdated: 3 May 2020 by the whole team\nfive short words."
+    rows = conflicts.statements(spark.createDataFrame([("a", text)], "path string, text string")).orderBy("k").collect()
+    assert [r["s"] for r in rows] == ["A heading of five words here", "The fee is $1,200.50 for each bag.", "The limit is 7 hrs and not only 5% per day Updated: 3 May 2020 by the whole team five short words."]
+    assert [(x["unit"], x["value"]) for x in rows[1]["amounts"]] == [("$", 1200.5)] and [(x["unit"], x["value"]) for x in rows[2]["amounts"]] == [("hour", 7.0), ("%", 5.0), ("may", 3.0)]
+    assert not rows[2]["negated"]
+
+
+def cut_at(spark, text, at, fmt="md"):
+    import sieveworks.operators.chunking as module
+
+    keep, module.splitter = module.splitter, lambda spec, vocabulary=None: ((lambda t: [(0, at), (at, len(t))]), "fixed")
+    try:
+        docs = spark.createDataFrame([("a", fmt, text)], "path string, fmt string, text string")
+        return chunking.cut_sentences(chunking.boundaries(docs, "path")).collect()
+    finally:
+        module.splitter = keep
+
+
+def test_cut_before_the_condition(spark):
     text = " ".join(f"Sentence number {k} is here for you." for k in range(20)) + " Staff may travel with their family members only if approved."
-    at = text.index("only if")
-    assert [q for *_, q in chunking.cuts(text, [(0, at), (at, len(text))])] == ["only"]
-    assert chunking.cuts(text, [(0, text.index("Staff")), (text.index("Staff"), len(text))]) == []
+    assert [r["qualifier"] for r in cut_at(spark, text, text.index("only if"))] == ["only"]
+    assert cut_at(spark, text, text.index("Staff")) == [] and cut_at(spark, text.replace(" only if", " when"), text.index("only if")) == []
+
+
+def test_word_and_token_windows():
+    assert [b - a for a, b in chunking.word_spans("ab " * 1000, 380, 0)] == [380 * 3 - 1, 380 * 3 - 1, 240 * 3 - 1]
+    assert chunking.word_spans("", 5, 1) == [] and chunking.word_spans("a b c d e f", 4, 2) == [(0, 7), (4, 11)]
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if os.path.exists(path):
+        text = "Größe — naïve 日本語 words and more. " * 40
+        spans = chunking.token_spans(text, 16, 0, path)
+        assert "".join(text[a:b] for a, b in spans) == text and len(spans) > 10
+        assert chunking.splitter("tokens:16", path)[0](text) == spans
+
+
+def test_unavailable_library():
+    with pytest.raises(chunking.Unavailable):
+        chunking.splitter("llamaindex")
