@@ -32,10 +32,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """Documents of enough words, one per group of exact duplicates."""
-    k = keyed(docs)
-    first = k.filter("digest is not null").groupBy("digest").agg(F.min("path").alias("path"))
-    return k.join(first.select("path"), "path", "left_semi").filter(F.col("n_words") >= MIN_FAMILY_WORDS)
+    """Documents of enough words, one per group of exact duplicates. Words are counted once, into a narrow table."""
+    k = materialize(keyed(docs).filter(F.col("n_words") >= MIN_FAMILY_WORDS).select("path", "digest"), "digests")
+    return docs.join(k.groupBy("digest").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
 
 
 def with_shingles(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
