@@ -7,13 +7,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
 
 _WORD = re.compile(r"[^\W_]+")
 _LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
@@ -33,14 +30,14 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(fold(text)) if text else []
 
 
-def canonical(text: str | None) -> tuple[str, int]:
-    """The text without what is only formatting, and its number of words.
+def words_and_canonical(text: str | None) -> tuple[list[str], str]:
+    """The words, and the text without what is only formatting.
 
     Words joined by one blank. Two or more opening lines ``Name: value`` are sorted, each ended by a line
     feed, since their order carries no meaning.
     """
     if not text:
-        return "", 0
+        return [], ""
     text = fold(text)
     found = _WORD.findall(text)
     head, pos = [], 0
@@ -55,9 +52,15 @@ def canonical(text: str | None) -> tuple[str, int]:
             if m is None:
                 break
     if len(head) < 2:
-        return " ".join(found), len(found)
+        return found, " ".join(found)
     opening = sum(map(len, head))
-    return "".join(" ".join(x) + "\n" for x in sorted(head)) + " ".join(found[opening:]), len(found)
+    return found, "".join(" ".join(x) + "\n" for x in sorted(head)) + " ".join(found[opening:])
+
+
+def canonical(text: str | None) -> tuple[str, int]:
+    """The canonical text and its number of words."""
+    found, key = words_and_canonical(text)
+    return key, len(found)
 
 
 @lru_cache(maxsize=1 << 18)
@@ -93,10 +96,3 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
             out *= _MULT
             out += h[i : i + n]
     return mix(out)
-
-
-def arrow_map(
-    df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """``mapInArrow`` under one name, so that every operator shares the batch conventions."""
-    return df.mapInArrow(f, schema)
