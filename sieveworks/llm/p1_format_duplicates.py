@@ -13,6 +13,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 from sieveworks.llm.words import canonical
 from sieveworks.storage import materialize, table
 
-#: rows a bucket may hold; above BUCKETS buckets the limit grows with the input, so that the split plan the
-#: driver keeps (8 bytes per oversized prefix and level) has a fixed bound
+#: rows a bucket may hold, whatever the input: a trie never outgrows its task
 BUCKET_ROWS = 20_000
-BUCKETS = 200_000
+#: buckets for each BUCKET_ROWS rows: prefixes differ in size, and many small buckets fill tasks more evenly
+FINE = 4
+#: oversized prefixes of one level that are broadcast; more are joined as a table
+PREFIXES = 200_000
 MIN_WORDS = 10
 
 
@@ -94,19 +97,31 @@ def canonical_keys(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def _bucketed(keys: DataFrame, levels: list[dict], root_parts: int) -> DataFrame:
-    """Adds ``bucket`` and ``hot``; ``levels`` holds the oversized prefixes of each depth."""
-    spark = keys.sparkSession
+@dataclass
+class Level:
+    """Prefixes of one depth that hold too many rows: a table (h, new_parts, ended) and its numbers of rows."""
+
+    depth: int
+    heavy: DataFrame
+    n: int
+    n_ended: int
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= PREFIXES else df
+
+
+def _bucketed(keys: DataFrame, levels: list[Level], root_parts: int) -> DataFrame:
+    """Adds ``bucket`` and ``hot``."""
     out = keys.withColumn("parent", F.lit(0).cast("long")).withColumn("parts", F.lit(root_parts).cast("long"))
     out = out.withColumn("bucket", F.lit(None).cast("long")).withColumn("hot", F.lit(False))
     for level in levels:
-        h = F.xxhash64(F.lit(level["depth"]), F.substring("key", 1, level["depth"]))
+        h = F.xxhash64(F.lit(level.depth), F.substring("key", 1, level.depth))
         out = out.withColumn("h", F.when(F.col("bucket").isNull() & ~F.col("hot"), h))
-        heavy = spark.createDataFrame(
-            [(x["h"], x["parts"], x["ended"]) for x in level["heavy"]], "h long, new_parts long, ended boolean"
-        )
-        # bounded: at most rows / limit oversized prefixes, so never more than BUCKETS rows
-        out = out.join(F.broadcast(heavy), "h", "left")
+        if level.n:
+            out = out.join(_small(level.heavy, level.n), "h", "left")
+        else:
+            out = out.withColumn("new_parts", F.lit(None).cast("long")).withColumn("ended", F.lit(False))
         light = F.col("h").isNotNull() & F.col("new_parts").isNull()
         out = out.select(
             *keys.columns,
@@ -118,37 +133,27 @@ def _bucketed(keys: DataFrame, levels: list[dict], root_parts: int) -> DataFrame
     return out
 
 
-def radix_plan(keys: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[list[dict], int]:
+def radix_plan(keys: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[list[Level], int]:
     """Split levels: the prefixes that hold too many rows, found level by level at depths 4, 8, 16, ...
 
-    Each round counts prefixes below the oversized parents only. The driver gets the oversized ones, at most
-    ``rows / limit`` of them, never the light ones.
+    Each round counts prefixes below the oversized parents only. The oversized ones stay a table; the driver gets two
+    numbers a level.
     """
     total = keys.count()
-    limit = max(bucket_rows, total // BUCKETS)
-    levels: list[dict] = []
-    root_parts = max(1, -(-total // limit))
-    depth = 4
-    open_parents = {0}
-    while open_parents:
+    levels: list[Level] = []
+    root_parts = max(1, -(-FINE * total // bucket_rows))
+    depth, todo = 4, 1
+    while todo:
         placed = _bucketed(keys, levels, root_parts).filter(F.col("bucket").isNull() & ~F.col("hot"))
         counts = (
             placed.withColumn("h", F.xxhash64(F.lit(depth), F.substring("key", 1, depth)))
-            .groupBy("parent", "h", (F.octet_length("key") < depth).alias("ended"))
+            .groupBy("h", (F.octet_length("key") < depth).alias("ended"))
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        big = F.col("n") > limit
-        rows = (
-            counts.groupBy("parent")
-            .agg(
-                F.sum(F.when(big, 0).otherwise(F.col("n"))).alias("light"),
-                F.collect_list(F.when(big, F.struct("h", "ended", "n"))).alias("heavy"),
-            )
-            .collect()
-        )
-        heavy = [{"h": x["h"], "ended": x["ended"], "parts": max(1, -(-x["n"] // limit))} for r in rows for x in r["heavy"]]
-        levels.append({"depth": depth, "heavy": heavy})
-        open_parents = {x["h"] for x in heavy if not x["ended"]}
+        heavy = materialize(counts.filter(F.col("n") > bucket_rows).select("h", F.ceil(FINE * F.col("n") / bucket_rows).alias("new_parts"), "ended"), "prefixes")
+        n, n_ended = heavy.agg(F.count(F.lit(1)), F.count_if("ended")).first()
+        levels.append(Level(depth, heavy, n, n_ended))
+        todo = n - n_ended
         depth *= 2
     return levels, root_parts
 
@@ -195,14 +200,18 @@ def _groups(records: DataFrame, one_row_per_group: bool, min_words: int, bucket_
     keys = materialize(canonical_keys(records, min_words), "canonical")
     levels, root_parts = radix_plan(keys, bucket_rows)
     placed = _bucketed(keys, levels, root_parts)
+    spark = records.sparkSession
+    # as many partitions as buckets ask for: without a number small buckets are put together into large tasks
+    parts = max(2 * spark.sparkContext.defaultParallelism, root_parts // FINE)
     normal = (
         placed.filter(~F.col("hot"))
         .select("bucket", "record_kind", "id", "key")
-        .repartition("bucket")
+        .repartition(parts, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_tries(one_row_per_group), "record_kind string, id_a long, v long")
     )
-    if not any(x["ended"] for level in levels for x in level["heavy"]):
+    hot_keys = sum(level.n_ended for level in levels)
+    if not hot_keys:
         return normal
     hot = placed.filter("hot").select("record_kind", "id", F.sha2("key", 256).alias("digest"))
     # partial aggregation happens before the shuffle: one row per hot group and task
@@ -214,8 +223,8 @@ def _groups(records: DataFrame, one_row_per_group: bool, min_words: int, bucket_
         )
         hot_rows = parts.groupBy("record_kind", "digest").agg(F.min("id_a").alias("id_a"), F.sum("v").alias("v"))
         return normal.unionByName(hot_rows.select("record_kind", "id_a", "v"))
-    # bounded: hot groups have more rows than the limit each, so there are at most BUCKETS of them
-    labelled = hot.join(F.broadcast(least), ["record_kind", "digest"]).filter("id <> id_a")
+    # more than a bucket's rows each: few, and joined as a table where they are not
+    labelled = hot.join(_small(least, hot_keys), ["record_kind", "digest"]).filter("id <> id_a")
     return normal.unionByName(labelled.select("record_kind", "id_a", F.col("id").alias("v")).distinct())
 
 
