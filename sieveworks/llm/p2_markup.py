@@ -1,10 +1,12 @@
 """Markup residue in text documents (problem 2).
 
-Method: a page is read as a stream of events of the standard library's HTML parser (tags, data, entities); Markdown,
-wiki and LaTeX constructs are recognised in what the parser passes on as data. Every output line carries its
-text-to-tag ratio; the ratios are smoothed with a Gaussian kernel and lines whose smoothed ratio falls below a
-threshold cluster (menus, link bars, residue of layout) are left out, unless they are headings, list items, table
-rows, code or formulas, which are kept whatever their ratio.
+Method: every page with a sign of markup is streamed through the standard library's HTML parser. Its events are the
+evidence: tags, comments, declarations and entities that it reports make a page html, and what it passes on as data is
+scanned for the constructs of Markdown, wiki and LaTeX, which the library has no parser for; each one found is an event
+of its own kind on its line. Every line carries its text-to-tag ratio over all those events; the ratios are smoothed
+with a Gaussian kernel and split into two clusters by the threshold of greatest separation. Lines of the low cluster
+that are mere links or signs (menus, link bars, residue of layout) are left out and counted, unless they are headings, list items,
+table rows, code or formulas, which are kept whatever their ratio. The kinds of a page are those of its events.
 
 The clean text shows structure without markup: headings stand as paragraphs of their own, list items begin with a
 dash or number, cells are joined by bars, code is indented by four blanks, formulas keep their source.
@@ -18,6 +20,7 @@ the end of the page; a page delivered again counts once; extra columns are ignor
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveworks.sources.tables import latest
 from sieveworks.storage import table
 
 HTML, MARKDOWN, WIKI, LATEX = "html", "markdown", "wiki", "latex"
@@ -37,8 +41,9 @@ _TAGS = (
     "main map mark meta nav noscript object ol optgroup option p param pre q s samp script section select small span strike "
     "strong style sub summary sup svg table tbody td template textarea tfoot th thead title tr tt u ul var video wbr"
 ).split()
-_TAG = re.compile(rf"</?(?:{'|'.join(sorted(_TAGS, key=len, reverse=True))})(?=[\s/>])[^<>]*>|<!--.*?-->|<!doctype[^<>]*>", re.I | re.S)
-_ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,31});", re.I)
+_KNOWN = frozenset(_TAGS)
+#: a bracket before what is no known tag, comment or declaration
+_LOOSE = re.compile(r"<(?!/?(?:%s)(?=[\s/>])|!--|!doctype)" % "|".join(_TAGS), re.I)
 _BLOCKS = {*"address article aside blockquote body caption center dd details div dl dt fieldset figure footer form header hr html main nav ol p section table tbody tfoot thead title ul".split()}
 _SILENT = {"script", "style", "noscript", "template", "svg", "head"}
 
@@ -67,19 +72,24 @@ _LINE_CODE = re.compile(r"^(?: {2,}|\t)\S", re.M)
 
 
 class _Events(HTMLParser):
-    """Turns parser events into lines of text; each line counts its tags."""
+    """Turns parser events into lines of text; each line counts its tags. ``marks`` counts what is html at all.
+
+    What only looks like a tag (an address in angle brackets, a comparison) is data again.
+    """
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.lines: list[list] = [["", 0, False]]  # text, tags, kept in any case
+        super().__init__(convert_charrefs=False)
+        self.lines: list[list] = [["", 0, False, 0, 0]]  # text, tags, kept in any case, links, characters of links
+        self.marks = self.loose = 0  # html events, and references that stand for loose brackets
         self.silent = 0
         self.pre = 0
+        self.anchor = 0
         self.cells = 0
         self.order: list[int | None] = []
 
     def _line(self, keep: bool = False) -> None:
         if self.lines[-1][0].strip() or self.lines[-1][2]:
-            self.lines.append(["", 0, keep])
+            self.lines.append(["", 0, keep, 0, 0])
         else:
             self.lines[-1][0] = ""
             self.lines[-1][2] = keep
@@ -87,14 +97,20 @@ class _Events(HTMLParser):
     def _gap(self) -> None:
         self._line()
         if len(self.lines) > 1 and self.lines[-2][0]:
-            self.lines.append(["", 0, False])
+            self.lines.append(["", 0, False, 0, 0])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in _KNOWN:
+            return self.handle_data(self.get_starttag_text() or "")
+        self.marks += 1
         self.lines[-1][1] += 1
         if tag in _SILENT:
             self.silent += tag not in ("head",)
+        elif tag == "a":
+            self.anchor += 1
+            self.lines[-1][3] += 1
         elif tag == "br":
-            self.lines.append(["", 0, self.lines[-1][2]])
+            self.lines.append(["", 0, self.lines[-1][2], 0, 0])
         elif tag == "pre":
             self._gap()
             self.pre += 1
@@ -123,14 +139,22 @@ class _Events(HTMLParser):
             self._gap()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if tag not in _KNOWN:
+            return self.handle_data(self.get_starttag_text() or "")
+        self.marks += 1
         self.lines[-1][1] += 1
         if tag == "br":
-            self.lines.append(["", 0, self.lines[-1][2]])
+            self.lines.append(["", 0, self.lines[-1][2], 0, 0])
 
     def handle_endtag(self, tag: str) -> None:
+        if tag not in _KNOWN:
+            return self.handle_data(f"</{tag}>")
+        self.marks += 1
         self.lines[-1][1] += 1
         if tag in _SILENT:
             self.silent = max(0, self.silent - (tag not in ("head",)))
+        elif tag == "a":
+            self.anchor = max(0, self.anchor - 1)
         elif tag == "pre":
             self.pre = max(0, self.pre - 1)
             self._gap()
@@ -145,45 +169,111 @@ class _Events(HTMLParser):
             self._gap()
 
     def handle_comment(self, data: str) -> None:
+        self.marks += 1
         self.lines[-1][1] += 1
 
+    def handle_decl(self, decl: str) -> None:
+        self.marks += decl.lower().startswith("doctype")
+
+    def handle_entityref(self, name: str) -> None:
+        # only what is written out with its semicolon is an entity; the parser also reports a bare ampersand's word
+        sign = html.entities.html5.get(name + ";") if self._ended else None
+        self.marks += sign is not None
+        self.handle_data(sign if sign is not None else f"&{name}{';' if self._ended else ''}")
+
+    def handle_charref(self, name: str) -> None:
+        self.marks += 1
+        self.handle_data(html.unescape(f"&#{name};"))
+
+    @property
+    def _ended(self) -> bool:
+        """Whether the reference that is being reported ends with a semicolon: the parser still stands at its start."""
+        return self.rawdata.startswith(";", self._reference_end())
+
+    def _reference_end(self) -> int:
+        at = self._at
+        end = at + 1
+        while end < len(self.rawdata) and self.rawdata[end].isalnum():
+            end += 1
+        return end
+
+    def updatepos(self, i: int, j: int) -> int:
+        self._at = j  # where the parser goes on, so the start of the next construct
+        return super().updatepos(i, j)
+
     def handle_data(self, data: str) -> None:
         if self.silent:
             return
         if self.pre:
             first, *rest = data.split("\n")
             self.lines[-1][0] += first
-            self.lines.extend(["    " + x, 0, True] for x in rest)
+            self.lines.extend(["    " + x, 0, True, 0, 0] for x in rest)
             return
         first, *rest = data.split("\n")
         self.lines[-1][0] += first
+        self.lines[-1][4] += len(first.strip()) if self.anchor else 0
         for x in rest:
-            self.lines.append([x, 0, False])
+            self.lines.append([x, 0, False, 0, 0])
 
 
-def content_lines(lines: list[list], sigma: float = 1.0, share: float = 0.25) -> list[str]:
-    """Lines of the content regions: those whose smoothed text-to-tag ratio reaches ``share`` of its spread.
-
-    Structural lines are kept whatever their ratio.
-    """
-    if not lines:
-        return []
-    ratio = np.array([len(t.strip()) / max(1, tags) for t, tags, _ in lines])
+def smoothed(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Gaussian smoothing over neighbouring lines; the ends are continued."""
     reach = np.arange(-3, 4)
     kernel = np.exp(-(reach**2) / (2 * sigma**2))
-    smooth = np.convolve(np.pad(ratio, 3, mode="edge"), kernel / kernel.sum(), mode="valid")
-    limit = share * float(smooth.std())
-    return [t for (t, tags, keep), r in zip(lines, smooth, strict=True) if keep or r >= limit or tags == 0]
+    return np.convolve(np.pad(ratio, 3, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def _is_html(text: str) -> bool:
-    return bool(_TAG.search(text) or any(html.unescape(m) != m for m in _ENTITY.findall(text)))
+def two_clusters(x: np.ndarray, least: float = 0.5) -> float | None:
+    """The threshold that separates the values best into two clusters, if they explain ``least`` of the variance."""
+    v = np.sort(x)
+    if len(v) < 4 or v[-1] <= v[0]:
+        return None
+    n = np.arange(1, len(v))
+    low, total = np.cumsum(v)[:-1], v.sum()
+    between = n * (len(v) - n) * (low / n - (total - low) / (len(v) - n)) ** 2
+    k = int(np.argmax(between))
+    if between[k] / (len(v) ** 2 * v.var()) < least:
+        return None
+    return float(v[k] + v[k + 1]) / 2
+
+
+def _residue(text: str, tags: int, keep: bool, links: int, linked: int) -> bool:
+    """A line of links for the most part, or of tags without a letter or digit."""
+    own = len(text.strip())
+    return own > 0 and ((links > 1 and 2 * linked > own) or (tags > 0 and not re.search(r"[^\W_]", text)))
+
+
+def content_lines(lines: list[list]) -> tuple[list[str], int]:
+    """Lines of the content regions, and the number of lines left out.
+
+    The logarithm of the text-to-tag ratio is smoothed and clustered. A line of the low cluster is left out if its own ratio
+    lies there too and it is a bar of links or holds no word: a short sentence or a formula among tags is content.
+    Structural lines are kept whatever their ratio. Where two clusters do not explain the ratios, all is content.
+    """
+    full = [k for k, (t, tags, *_) in enumerate(lines) if t.strip() or tags]
+    if not full:
+        return [x[0] for x in lines], 0
+    ratio = np.array([np.log1p(len(lines[k][0].strip()) / max(1, lines[k][1])) for k in full])
+    near = smoothed(ratio)
+    # structural lines are content in any case, so only the others are clustered
+    free = np.array([not lines[k][2] for k in full])
+    limit = two_clusters(near[free])
+    if limit is None:
+        return [x[0] for x in lines], 0
+    gone = {k for k, own, x in zip(full, ratio, near, strict=True) if not lines[k][2] and max(own, x) < limit and _residue(*lines[k])}
+    return [x[0] for k, x in enumerate(lines) if k not in gone], len(gone)
 
 
 def convert(text: str | None) -> tuple[str | None, list[str]]:
     """The clean text and the kinds of markup found in it."""
+    return cleaned_text(text)[:2]
+
+
+def cleaned_text(text: str | None) -> tuple[str | None, list[str], int]:
+    """The clean text, the kinds of markup found in it and the number of lines left out."""
     if not text:
-        return text, []
+        return text, [], 0
+    dropped = 0
     kinds: set[str] = set()
     kept: list[str] = []
 
@@ -205,17 +295,19 @@ def convert(text: str | None) -> tuple[str | None, list[str]]:
     text = text.replace("\r\n", "\n").replace("\x02", "").replace("\x03", "")
     text = _VERBATIM.sub(verbatim, _FENCE.sub(fenced, text))
 
-    if _is_html(text):
-        kinds.add(HTML)
+    while "<" in text or "&" in text:
         events = _Events()
-        # what only looks like a tag (an address, a comparison) is data
-        safe = re.sub(r"<(?!/?(?:%s)(?=[\s/>])|!--|!doctype)" % "|".join(_TAGS), "&lt;", text, flags=re.I)
+        # a bracket that opens nothing would swallow what follows it
+        safe, events.loose = _LOOSE.subn("&lt;", text)
         events.feed(safe)
         events.close()
-        held = []
-        for line in content_lines(events.lines):
-            held.append(hold(line) if line.startswith("    ") and line.strip() else _TAG.sub("", line.replace("\xa0", " ")).rstrip())
-        text = "\n".join(held)
+        if events.marks <= events.loose:
+            break
+        kinds.add(HTML)
+        got, gone = content_lines(events.lines)
+        dropped += gone
+        # what was escaped twice holds tags again
+        text = "\n".join(hold(x) if x.startswith("    ") and x.strip() else x.replace("\xa0", " ").rstrip() for x in got)
 
     math: list[tuple[str, str]] = []
 
@@ -260,7 +352,7 @@ def convert(text: str | None) -> tuple[str | None, list[str]]:
         text = re.sub("\x02(\\d+)\x03", lambda m: kept[int(m.group(1))], text)
     if kinds:
         text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)).strip("\n")
-    return text, sorted(kinds)
+    return text, sorted(kinds), dropped
 
 
 _LATEX_HEAD = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph|title)\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}")
@@ -378,24 +470,25 @@ SIGN = r"[<&\\`*_#~\[{}$^+>]|''|={2}|-{3}"
 
 
 def cleaned(pages: DataFrame) -> DataFrame:
-    """(page_id, text) to (page_id, text, kinds) of the pages that hold markup."""
+    """(page_id, text) to (page_id, text, kinds, dropped) of the pages that hold markup; ``dropped`` lines were left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts, kinds = [], [], []
+            ids, texts, kinds, dropped = [], [], [], []
             for ident, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
-                clean, found = convert(text)
+                clean, found, gone = cleaned_text(text)
                 if found:
                     ids.append(ident)
                     texts.append(clean)
                     kinds.append(found)
+                    dropped.append(gone)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))],
-                ["page_id", "text", "kinds"],
+                [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string())), pa.array(dropped, pa.int32())],
+                ["page_id", "text", "kinds", "dropped"],
             )
 
     signed = pages.select(F.col("page_id").cast("long").alias("page_id"), "text").filter(F.col("text").rlike(SIGN))
-    return signed.mapInArrow(run, "page_id long, text string, kinds array<string>")
+    return signed.mapInArrow(run, "page_id long, text string, kinds array<string>, dropped int")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,10 +496,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page once, as clean text."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "text").dropDuplicates(["page_id"])
+    """Every page once, in its last delivery, as clean text, with the number of lines left out."""
+    pages = latest(table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "text", "loaded_at"), "page_id").select("page_id", "text")
     done = cleaned(pages).withColumnRenamed("text", "clean")
-    return pages.join(done, "page_id", "left").select("page_id", F.coalesce("clean", "text").alias("text"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+    return pages.join(done, "page_id", "left").select(
+        "page_id", F.coalesce("clean", "text").alias("text"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), F.coalesce("dropped", F.lit(0)).alias("dropped")
+    )
 
 
 QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean}

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveworks.sources.tables import latest
 from sieveworks.storage import table
 
 LIMITS = {"documents": (4000, 200), "chunks": (2000, 100)}
@@ -156,17 +157,23 @@ def pieces(records: DataFrame, limit: int, overlap: int) -> DataFrame:
     return big.mapInArrow(run, _SCHEMA)
 
 
-def _all_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _all_pieces(spark: SparkSession, sf_dir: str, last: bool = False) -> DataFrame:
+    """Pieces of all oversized items as delivered, or of chunks in their last delivery alone."""
     out = None
     for name, ident in (("documents", "doc_id"), ("chunks", "chunk_id")):
-        rows = table(spark, sf_dir, name).select(F.lit(name).alias("record_kind"), F.col(ident).alias("record_id"), "text")
+        rows = table(spark, sf_dir, name)
+        if last and name == "chunks":
+            # what never was too long in any delivery needs no shuffle
+            ever = rows.filter(F.length("text") > LIMITS[name][0]).select(ident).distinct()
+            rows = latest(rows.join(ever, ident, "left_semi").select(ident, "text", "loaded_at"), ident)
+        rows = rows.select(F.lit(name).alias("record_kind"), F.col(ident).alias("record_id"), "text")
         part = pieces(rows, *LIMITS[name])
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_pieces(spark, sf_dir).dropDuplicates(["record_kind", "record_id", "piece"])
+    return _all_pieces(spark, sf_dir, last=True)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

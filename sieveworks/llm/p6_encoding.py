@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveworks.sources.tables import latest
 from sieveworks.storage import table
 
 SAMPLE = 2000
 BUCKETS = 1 << 14
 MARGIN = 2.0
-LAYERS = 4
 
 #: (encoding the bytes were written in, encoding they were read with)
 CHAINS = [
@@ -148,7 +148,7 @@ class ChainModel:
     def peel(self, s: str) -> tuple[str, list[tuple[str, str]]]:
         """The restored segment and the chains that were inverted, outermost first."""
         path: list[tuple[str, str]] = []
-        while len(path) < LAYERS and _HIGH.search(s):
+        while _HIGH.search(s):  # every layer that is peeled shortens the text or changes it for good
             score = self.scores(s)
             for k in np.argsort(-score, kind="stable"):
                 if score[k] < score[0] + MARGIN:
@@ -223,7 +223,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return affected(pages, fit(pages)).dropDuplicates(["page_id"])
+    return affected(latest(pages.select("page_id", "text", "loaded_at"), "page_id"), fit(pages))
 
 
 QUERIES = {"p6_found": p6_found, "p6_restored": p6_restored}

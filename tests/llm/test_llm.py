@@ -84,6 +84,23 @@ def test_markup_keeps_structure():
     assert p2.convert("== T ==\n{| class=x\n! a !! b\n|-\n| c || d\n|}\n# e\n# f")[0] == "T\n\na | b\nc | d\n1. e\n2. f"
 
 
+def test_regions_of_planted_pages():
+    """Of pages with known content and known residue, all content stays and link bars go."""
+    r = random.Random(4)
+    kept = lost = gone = planted = 0
+    for _ in range(60):
+        content = [" ".join(r.choice(WORDS) for _ in range(r.randrange(12, 40))) + "." for _ in range(r.randrange(4, 9))]
+        bars = [" ".join(f'<a href="/{r.randrange(99)}">{w}x</a>' for w in r.sample(WORDS, 6)) for _ in range(r.randrange(1, 4))]
+        body = [f"<p>{x}</p>" for x in content] + ["<h2>Part</h2>", "<p>x = y<sup>2</sup> + 1</p>", "<ul><li>one<li>two</ul>"]
+        clean, _, dropped = p2.cleaned_text("\n".join([f"<div>{b}</div>" for b in bars] + body))
+        lines = {x.strip() for x in clean.split("\n")}
+        kept += sum(x in lines for x in content)
+        lost += sum(x not in lines for x in [*content, "Part", "x = y2 + 1", "- one", "- two"])
+        planted += len(bars)
+        gone += dropped
+    assert lost == 0 and kept > 200 and gone > 0.9 * planted
+
+
 # ---------------------------------------------------------------- problem 3
 def test_personal_data_held_out():
     found = p3_train.accuracy(p3.tagger(), 4242, 150)
