@@ -91,14 +91,14 @@ def main(argv: list[str] | None = None) -> int:
             name, *sizes = chunking.parse_spec(a.chunker)
             size, overlap = sizes if name == "langchain" else chunking.PRESETS["langchain"]
             hits = retrieval.compare(retrieval.before_index(docs, size, overlap), retrieval.after_index(docs, found, size, overlap), read_questions(spark, a.questions), a.top_k)
-            for x in hits.orderBy("query_id", "side", "rank").limit(10_000).collect():
+            for x in hits.orderBy("query_id", "side", "rank").toLocalIterator():
                 print(f"{x['query_id']}\t{x['side']}\t{x['rank']}\t{x['chunk_id']}\t{x['score']}")
             return 0
         found, summary = scan.scan(docs, options, a.only.split(",") if a.only else None, [x for x in a.skip.split(",") if x])
-        pages = docs.select("path", "read_error")
+        pages = docs.select("path", "read_error", "fmt")
     fmt = {".json": "json", ".md": "md", ".html": "html"}.get(Path(a.out).suffix, a.format) if a.out else a.format
     text = {
-        "text": lambda: report.to_text(summary, found, a.path, a.all, (sys.stdout.encoding or "").lower().startswith("utf")), "json": lambda: report.to_json(summary, found, a.path),
+        "text": lambda: report.to_text(summary, found, a.path, a.all, (sys.stdout.encoding or "").lower().startswith("utf")), "json": lambda: report.to_json(summary, found, a.path, docs=pages),
         "md": lambda: report.to_markdown(summary, found, a.path), "html": lambda: report.to_html(pages, summary, found, a.path),
     }[fmt]()
     Path(a.out).write_text(text, encoding="utf-8") if a.out else print(text)

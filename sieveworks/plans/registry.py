@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveworks.plans import index_queries, text_queries
+from sieveworks.plans import index_queries, scenarios, text_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +13,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {**text_queries.QUERIES, **index_queries.QUERIES}
+    return {**text_queries.QUERIES, **index_queries.QUERIES, **scenarios.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**text_queries.ORACLE, **index_queries.ORACLE}
+    return {**text_queries.ORACLE, **index_queries.ORACLE, **scenarios.ORACLE}

@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks import __version__
 from sieveworks.operators import scoring
 
 SHOWN = 20
@@ -28,15 +29,20 @@ def exit_code(findings: DataFrame, fail_on: str = "error") -> int:
 def shown(findings: DataFrame, limit: int | None = SHOWN, info: bool = False) -> list:
     rows = findings if info else findings.filter("severity <> 'info'")
     rows = rows.withColumn("tag", scoring.tag()).orderBy(*scoring.report_key(), "finding_id")
-    return rows.limit(limit if limit is not None else 100_000).collect()
+    return list(rows.toLocalIterator()) if limit is None else rows.limit(limit).collect()
 
 
-def to_json(report: DataFrame, findings: DataFrame, root: str, limit: int | None = None) -> str:
+def to_json(report: DataFrame, findings: DataFrame, root: str, limit: int | None = None, docs: DataFrame | None = None) -> str:
+    """All findings, and the documents with their scores if they are given; partitions come to the driver one at a time."""
     r = report.first().asDict()
     rows = [x.asDict() for x in shown(findings, limit, info=True)]
     keep = ("check", "severity", "f_codes", "title", "path", "location", "detail", "fix", "related")
     counts = {s: r[f"n_{s}"] for s in scoring.RANK}
-    return json.dumps({"root": root, "score": r["score"], "verdict": r["verdict"], "counts": counts, "findings": [{k: x[k] for k in keep} for x in rows]}, ensure_ascii=False, indent=2)
+    head = {"tool": "sieveworks", "version": __version__, "root": root, "score": r["score"], "verdict": r["verdict"], "counts": counts}
+    if docs is not None:
+        scored = scoring.document_scores(docs, findings).join(docs.select("path", "read_error", *(["fmt"] if "fmt" in docs.columns else [])), "path").orderBy("path")
+        head["documents"] = [x.asDict() for x in scored.toLocalIterator()]
+    return json.dumps(head | {"findings": [{k: x[k] for k in keep} for x in rows]}, ensure_ascii=False, indent=2)
 
 
 def _where(x) -> str:
