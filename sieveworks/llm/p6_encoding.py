@@ -32,14 +32,14 @@ MARGIN = 2.0
 
 #: (encoding the bytes were written in, encoding they were read with)
 CHAINS = [
-    ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "mac_roman"),
-    ("utf-8", "cp1251"), ("utf-8", "cp1250"), ("utf-8", "koi8-r"), ("utf-8", "cp866"),
-    ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("cp1252", "cp1251"),
+    *(("utf-8", x) for x in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "koi8-r", "cp866")),
+    ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("shift_jis", "cp1252"),
 ]
 
 #: training lines for scripts and signs that a corpus may lack; all proper
 LINES = [
     "Ключи от склада лежат у входа, отдел закрыт до понедельника.", "В пятницу собрание начнётся в девять часов утра.",
+    "倉庫の鍵は入口にあります。会議は金曜日の朝に始まります。",
     "Η αποθήκη μένει κλειστή μέχρι την Παρασκευή.", "Οι φύλακες κρατούν τα κλειδιά στην είσοδο.",
     "Zażółć gęślą jaźń, a klucze leżą w szafie przy wejściu.", "Świetlica w Łodzi będzie otwarta później niż zwykle.",
     "Příliš žluťoučký kůň úpěl ďábelské ódy.", "A reunião sobre a ligação não começa amanhã.", "A SESSÃO NÃO FOI ADIADA, A LIÇÃO CONTINUA.",
@@ -53,10 +53,14 @@ _SEGMENT = re.compile(r"[^\n.!?]*[.!?\n]*\s*")
 _HIGH = re.compile(r"[^\x00-\x7f]")
 
 
+#: encodings of several bytes a sign
+MULTI = {"utf-8", "shift_jis", "gbk", "euc_kr", "big5"}
+
+
 def _tables() -> dict[str, tuple[str, dict[str, int]]]:
     """Single-byte codecs with the bytes they leave undefined passed through as control characters."""
     out = {}
-    for name in {c for pair in CHAINS for c in pair} - {"utf-8"}:
+    for name in {c for pair in CHAINS for c in pair} - MULTI:
         signs = "".join(bytes([b]).decode(name, "ignore") or chr(b) for b in range(256))
         out[name] = (signs, {s: b for b, s in enumerate(signs)})
     return out
@@ -67,8 +71,8 @@ _CODECS = _tables()
 
 def _encode(text: str, name: str) -> bytes | None:
     try:
-        if name == "utf-8":
-            return text.encode("utf-8")
+        if name in MULTI:
+            return text.encode(name)
         known = _CODECS[name][1]
         return bytes([known[s] for s in text])
     except (KeyError, UnicodeEncodeError):
@@ -76,11 +80,11 @@ def _encode(text: str, name: str) -> bytes | None:
 
 
 def _decode(raw: bytes, name: str) -> str | None:
-    if name != "utf-8":
+    if name not in MULTI:
         signs = _CODECS[name][0]
         return "".join([signs[b] for b in raw])
     try:
-        return raw.decode("utf-8")
+        return raw.decode(name)
     except UnicodeDecodeError:
         return None
 
@@ -148,15 +152,17 @@ class ChainModel:
     def peel(self, s: str) -> tuple[str, list[tuple[str, str]]]:
         """The restored segment and the chains that were inverted, outermost first."""
         path: list[tuple[str, str]] = []
-        while _HIGH.search(s):  # every layer that is peeled shortens the text or changes it for good
+        seen = {s}
+        while _HIGH.search(s):
             score = self.scores(s)
             for k in np.argsort(-score, kind="stable"):
                 if score[k] < score[0] + MARGIN:
                     return s, path
                 back = invert(s, CHAINS[k - 1])
                 # the result must itself be no less plausible as proper text, or be garbled in turn
-                if back is not None and (not _HIGH.search(back) or self._plausible(back)):
+                if back is not None and back not in seen and (not _HIGH.search(back) or self._plausible(back)):
                     s = back
+                    seen.add(s)  # so that the peeling ends: no form comes twice
                     path.append(CHAINS[k - 1])
                     break
             else:

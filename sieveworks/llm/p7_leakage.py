@@ -2,7 +2,7 @@
 
 Method: winnowing. Of every window of consecutive k-gram hashes the least is kept, for held-out items and for
 documents alike; equal fingerprints are joined and every hit is extended word by word. With
-``GRAM + WINDOW - 1 == RUN`` each shared run of at least ``RUN`` words shares a fingerprint, so none is missed.
+``gram + window - 1 == run`` each shared run of at least ``RUN`` words shares a fingerprint, so none is missed.
 
 The held-out set is stated apart from the corpus and small: below ``BROADCAST_BYTES`` its fingerprints go to
 every task and documents are never shuffled. Above, fingerprints are joined by hash and only matching pairs
@@ -26,13 +26,14 @@ from sieveworks.llm.words import grams, hashes, words
 from sieveworks.storage import table
 
 RUN, GRAM = 12, 6
-WINDOW = RUN - GRAM + 1
 BROADCAST_BYTES = 32 << 20
+#: parts that a fingerprint of the shuffled path is divided into
+SALTS = 8
 
 _SCHEMA = "doc_id long, item_id long, doc_word int, item_word int, n_words int"
 
 
-def fingerprints(h: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(h: np.ndarray, gram: int = GRAM, window: int = RUN - GRAM + 1) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes kept by winnowing."""
     g = grams(h, gram)
     if len(g) < window:
@@ -68,11 +69,18 @@ def _best(found: list[str], at: list[int], places: list[list[tuple[int, int]]],
     return best
 
 
+def lengths(run: int) -> tuple[int, int]:
+    """Words of a fingerprint and fingerprints of a window, so that every shared run of ``run`` words shares one."""
+    gram = max(1, min(GRAM, run // 2))
+    return gram, run - gram + 1
+
+
 def _broadcast_leaks(docs: DataFrame, rows: list, run: int) -> DataFrame:
+    gram, window = lengths(run)
     items = {r["item_id"]: words(r["text"]) for r in rows}
     index: dict[int, list[tuple[int, int]]] = {}
     for item, found in sorted(items.items()):
-        for i, g in zip(*(x.tolist() for x in fingerprints(hashes(found))), strict=True):
+        for i, g in zip(*(x.tolist() for x in fingerprints(hashes(found), gram, window)), strict=True):
             index.setdefault(g, []).append((item, i))
     known = docs.sparkSession.sparkContext.broadcast((np.array(sorted(index), np.uint64), index, items))
 
@@ -84,7 +92,7 @@ def _broadcast_leaks(docs: DataFrame, rows: list, run: int) -> DataFrame:
                 found = words(text)
                 if len(found) < run or not len(sorted_hashes):
                     continue
-                at, g = fingerprints(hashes(found))
+                at, g = fingerprints(hashes(found), gram, window)
                 k = np.searchsorted(sorted_hashes, g)
                 k[k == len(sorted_hashes)] = 0
                 hit = np.flatnonzero(sorted_hashes[k] == g)
@@ -107,18 +115,22 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _shuffled_leaks(docs: DataFrame, items: DataFrame, run: int) -> DataFrame:
+    """Fingerprints meet by hash. A boilerplate one is a hot key: documents are spread over salts and items repeated."""
+    gram, window = lengths(run)
+
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, marks = [], []
             for ident, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
-                g = np.unique(fingerprints(hashes(words(text)))[1].view(np.int64)).tolist()
+                g = np.unique(fingerprints(hashes(words(text)), gram, window)[1].view(np.int64)).tolist()
                 ids.extend([ident] * len(g))
                 marks.extend(g)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64())], ["id", "mark"])
 
     d = docs.select("doc_id", "text").mapInArrow(marks, "doc_id long, mark long")
     i = items.select("item_id", "text").mapInArrow(marks, "item_id long, mark long")
-    pairs = d.join(i, "mark").select("doc_id", "item_id").distinct()
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    pairs = d.withColumn("salt", salt).join(i.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["mark", "salt"]).select("doc_id", "item_id").distinct()
     both = pairs.join(docs.select("doc_id", "text"), "doc_id").join(
         items.select("item_id", F.col("text").alias("item")), "item_id"
     )
@@ -128,11 +140,11 @@ def _shuffled_leaks(docs: DataFrame, items: DataFrame, run: int) -> DataFrame:
             out = []
             for item_id, doc, text, item in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 a, c = words(text), words(item)
-                at, g = fingerprints(hashes(c))
+                at, g = fingerprints(hashes(c), gram, window)
                 index: dict[int, list[tuple[int, int]]] = {}
                 for p, x in zip(at.tolist(), g.tolist(), strict=True):
                     index.setdefault(x, []).append((item_id, p))
-                hits = [(p, index[x]) for p, x in zip(*(y.tolist() for y in fingerprints(hashes(a))), strict=True) if x in index]
+                hits = [(p, index[x]) for p, x in zip(*(y.tolist() for y in fingerprints(hashes(a), gram, window)), strict=True) if x in index]
                 best = _best(a, [p for p, _ in hits], [x for _, x in hits], {item_id: c})
                 out.extend((doc, k, *x) for k, x in best.items() if x[2] >= run)
             yield _batch(out)

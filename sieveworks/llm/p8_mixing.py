@@ -108,12 +108,12 @@ def plan(tokens: DataFrame, mix: DataFrame, total: float | None = None) -> DataF
     )
 
 
-def takes(tokens: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
+def takes(tokens: DataFrame, planned: DataFrame, seed: int = SEED, *more: str) -> DataFrame:
     """How often each document is taken; ``planned`` has at most MAX_SOURCES rows."""
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
     rate = F.coalesce("rate", F.lit(0.0))
     return tokens.join(F.broadcast(planned), "source", "left").select(
-        "doc_id", "source", "tokens",
+        "doc_id", "source", "tokens", *more,
         (F.floor(rate) + F.when(uniform < rate - F.floor(rate), 1).otherwise(0)).cast("int").alias("times"),
     )
 
@@ -134,6 +134,19 @@ def mixed(docs: DataFrame, taken: DataFrame) -> DataFrame:
     return docs.join(few, "doc_id")
 
 
+def emitted(docs: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mixture straight from the documents: the rate of the source decides where the text stands, so no text is moved."""
+    keyed = docs.withColumn("source", source_key(F.col("source").cast("string"))).withColumn("tokens", F.lit(None).cast("long"))
+    times = takes(keyed.select("doc_id", "source", "tokens", "text"), planned, seed, "text").filter("times > 0")
+    return times.select("doc_id", "source", "text", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the mixture, its text as a digest."""
+    planned = plan(_tokens(spark, sf_dir), table(spark, sf_dir, "mix_sources"))
+    return emitted(table(spark, sf_dir, "documents"), planned).select("doc_id", "source", "copy", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = _tokens(spark, sf_dir)
     planned = plan(tokens, table(spark, sf_dir, "mix_sources"))
@@ -151,5 +164,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_takes": p8_takes, "p8_shares": p8_shares}
+QUERIES = {"p8_takes": p8_takes, "p8_shares": p8_shares, "p8_mixture": p8_mixture}
 ORACLE: dict[str, str] = {}

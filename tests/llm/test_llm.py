@@ -205,6 +205,10 @@ def test_encoding_round_trips():
         twice = p6.garble(p6.garble(text, ("utf-8", "cp1252")), ("utf-8", "cp1252"))
         assert p6.restore(model, twice)[0] == text
         assert p6.restore(model, text) == (text, 0, 0)
+        five = text
+        for _ in range(5):
+            five = p6.garble(five, ("utf-8", "cp1252"))
+        assert p6.restore(model, five)[0] == text
     for line in p6.LINES:
         assert p6.restore(model, line)[1] == 0, line
     assert p6.restore(model, "d�t")[1:] == (1, 1) and p6.restore(model, None) == (None, 0, 0)
@@ -229,16 +233,17 @@ def test_leaks_as_brute_force(spark):
     docs += [(60, None, 0), (61, "", 0), (0, docs[0][1], 1)]
     d = spark.createDataFrame(docs, "doc_id long, text string, item_id long")
     i = spark.createDataFrame(items, "item_id long, text string")
-    want = set()
-    for doc, t, _ in docs:
-        w = words(t)
-        runs = {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
-        for item, u in items:
-            v = words(u)
-            if any(tuple(v[k : k + 12]) in runs for k in range(len(v) - 11)):
-                want.add((doc, item))
-    for size in (1 << 20, 0):
-        assert {(x["doc_id"], x["item_id"]) for x in p7.leaks(d, i, broadcast_bytes=size).collect()} == want
+    for n, sizes in ((12, (1 << 20, 0)), (9, (1 << 20,)), (5, (0,))):
+        want = set()
+        for doc, t, _ in docs:
+            w = words(t)
+            runs = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+            for item, u in items:
+                v = words(u)
+                if any(tuple(v[k : k + n]) in runs for k in range(len(v) - n + 1)):
+                    want.add((doc, item))
+        for size in sizes:
+            assert {(x["doc_id"], x["item_id"]) for x in p7.leaks(d, i, run=n, broadcast_bytes=size).collect()} == want
 
 
 # ---------------------------------------------------------------- problem 8
@@ -257,6 +262,9 @@ def test_mixing(spark):
     by = {r["source"]: r for r in got}
     share = by["a-b"]["n"] / (by["a-b"]["n"] + by["c"]["n"])
     assert abs(share - 0.75) < 0.03 and by["a-b"]["m"] <= 3 and by[None]["n"] == 0
+    taken = p8.takes(tokens, planned)
+    emitted = p8.mixed(docs.dropDuplicates(["doc_id"]), taken).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in emitted} == {r["doc_id"]: r["times"] for r in taken.collect() if r["times"]}
 
 
 # ---------------------------------------------------------------- problem 9
