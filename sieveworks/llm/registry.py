@@ -26,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {k: q for m in _loaded() for k, q in m.ORACLE.items()}
+    return {**{k: q for m in _loaded() for k, q in m.ORACLE.items()}, **importlib.import_module("sieveworks.llm.oracles").ORACLE}
