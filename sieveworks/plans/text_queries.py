@@ -189,6 +189,15 @@ def q_recursive_chunks(spark, d):
     return chunking.recursive_chunks(tables.documents(spark, d), "doc_id", 1000, 200).select("doc_id", "chunk_no", "start", "end", F.md5("chunk").alias("digest"))
 
 
+#: a public vocabulary for token windows; a parameter of the splitter
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def q_token_windows(spark, d):
+    c = chunking.chunked(tables.documents(spark, d), "doc_id", "tokens:256:32", VOCABULARY)
+    return c.select("doc_id", "chunk_no", "start", "end", F.md5("chunk").alias("digest"))
+
+
 def q_cut_sentences(spark, d):
     ends = chunking.boundaries(tables.documents(spark, d), "doc_id", "langchain:1000:200")
     return chunking.cut_sentences(ends).select("doc_id", "chunk_no", "line", "qualifier")
@@ -243,7 +252,7 @@ QUERIES = {
     "word_stats": q_word_stats, "unreadable": q_unreadable, "exact_duplicates": q_exact_duplicates, "duplicate_groups": q_duplicate_groups, "near_pairs": q_near_pairs, "lsh_pairs": q_lsh_pairs, "near_components": q_components,
     "pii_email": q_pii_email, "pii_ssn": q_pii_ssn, "pii_card": q_pii_card, "pii_phone": q_pii_phone, "secrets": q_secrets, "pii_findings": q_pii_findings, "pii_masked": q_pii_masked, "pii_redacted": q_pii_redacted,
     "garbled_counts": q_garbled_counts, "garbled_signals": q_garbled_signals, "page_stats": q_page_stats, "scanned_pages": q_scanned_pages, "image_pages": q_image_pages, "page_ranges": q_page_ranges, "extraction_findings": q_extraction_findings,
-    "table_rows": q_table_rows, "table_runs": q_table_runs, "number_tokens": q_number_tokens, "headings": q_headings, "rule_density": q_rule_density, "word_windows": q_word_windows, "recursive_chunks": q_recursive_chunks,
+    "table_rows": q_table_rows, "table_runs": q_table_runs, "number_tokens": q_number_tokens, "headings": q_headings, "rule_density": q_rule_density, "word_windows": q_word_windows, "recursive_chunks": q_recursive_chunks, "token_windows": q_token_windows,
     "cut_sentences": q_cut_sentences, "orphan_headings": q_orphan_headings, "split_tables": q_split_tables, "chunk_findings": q_chunk_findings, "metadata_flags": q_metadata_flags, "metadata_findings": q_metadata_findings,
 }
 
