@@ -68,7 +68,7 @@ def q_bm25(spark, d):
 
 
 def q_before_after(spark, d):
-    docs = tables.corpus(spark, d)
+    docs = materialize(tables.corpus(spark, d).select("path", "fmt", "metadata", "read_error", "text"), "corpus")  # both indexes read it
     f = materialize(scan_findings(spark, d), "findings")
     hits = retrieval.compare(retrieval.before_index(docs), retrieval.after_index(docs, f), _questions(spark, d))
     return hits.select("side", "query_id", "rank", "chunk_id", "score")
