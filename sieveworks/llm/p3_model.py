@@ -9,7 +9,8 @@ import numpy as np
 KINDS = ["email", "person_name", "street_address", "phone", "identity_number"]
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 K = len(TAGS)
-LENGTH = 64
+#: whether a tag (column) may follow another (row)
+_FOLLOWS = np.array([[j == 0 or j % 2 == 1 or i in (j - 1, j) for j in range(K)] for i in range(K)])
 
 #: classes of characters: padding, line end, other sign, other letter, then printable ASCII
 PAD, BREAK, OTHER, LETTER = range(4)
@@ -56,14 +57,24 @@ def encode(text: str) -> np.ndarray:
     return out
 
 
+def squash(x: np.ndarray) -> np.ndarray:
+    """A hyperbolic tangent by a ratio of polynomials, flat beyond 3; a fraction of the exact one's time."""
+    x = x.clip(-3, 3)
+    sq = x * x
+    x *= sq + 27
+    sq *= 9
+    sq += 27
+    x /= sq
+    return x
+
+
 class Tagger:
-    """Both directions run in one loop; the gates' sigmoids are computed as scaled hyperbolic tangents."""
+    """Both directions run in one loop. Gates are cut straight lines, so that padding closes them and resets the state."""
 
     def __init__(self, hidden: int = 24, seed: int = 0) -> None:
         r = np.random.default_rng(seed)
         f = lambda *shape, s: (r.standard_normal(shape) * s).astype(np.float32)
         self.h = hidden
-        self.known: frozenset[int] = frozenset()  # hashes of words that never occur in names or streets
         self.p = {
             "x": f(2, VOCAB, 4 * hidden, s=0.3), "u": f(2, hidden, 4 * hidden, s=hidden**-0.5),
             "w": f(2 * hidden, K, s=0.3), "b": np.zeros(K, np.float32), "t": np.zeros((K, K), np.float32), "s": np.zeros(K, np.float32),
@@ -73,81 +84,118 @@ class Tagger:
     @classmethod
     def load(cls, path: str) -> Tagger:
         with np.load(path) as f:
-            p = {k: f[k] for k in f.files}
+            p = {k: f[k].astype(np.float32) for k in f.files}
         out = cls(p["u"].shape[1])
-        out.known = frozenset(p.pop("known", np.empty(0, np.uint64)).tolist())
-        out.p = {k: v.astype(np.float32) for k, v in p.items()}
+        out.p = p
         return out
 
     def save(self, path: str) -> None:
-        known = np.array(sorted(self.known), np.uint64)
-        np.savez_compressed(path, known=known, **{k: v.astype(np.float16) for k, v in self.p.items()})
+        np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in self.p.items()})
+
+    def _scaled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs and weights of the state, transposed, that put gates on a scale to be cut at 0 and 1; padding closes them.
+
+        Below the gates the weights have the emissions.
+        """
+        h, p = self.h, self.p
+        x, u = p["x"].transpose(0, 2, 1).copy(), p["u"].transpose(0, 2, 1).copy()
+        x[:, : 3 * h] = x[:, : 3 * h] * 0.5 + 0.5
+        u[:, : 3 * h] *= 0.5
+        x[:, : 3 * h, PAD] = -1e4
+        return x, np.concatenate([u, p["w"].reshape(2, h, K).transpose(0, 2, 1)], axis=1)
 
     def _run(self, ids: np.ndarray, keep: bool):
+        """Emissions (length, tags, windows); the states of both directions and what else the gradients need."""
         n, length = ids.shape
         h = self.h
-        x, u = self.p["x"], self.p["u"]
-        state = np.zeros((2, n, h), np.float32)
-        cell = np.zeros((2, n, h), np.float32)
-        out = np.empty((length, 2, n, h), np.float32)
+        x, u = self._scaled()
+        at = ids.T.astype(np.intp, order="C")
+        state, cell, part = (np.zeros((2, h, n), np.float32) for _ in range(3))
+        e = np.zeros((length, K, n), np.float32)
+        e += self.p["b"][:, None]
         tape = []
-        z = np.empty((2, n, 4 * h), np.float32)
-        for t in range(length):
-            np.matmul(state, u, out=z)
-            z[0] += x[0][ids[:, t]]
-            z[1] += x[1][ids[:, length - 1 - t]]
-            np.tanh(z, out=z)
-            gates = z[..., : 3 * h] * 0.5
-            gates += 0.5
-            i, f, o, g = gates[..., :h], gates[..., h : 2 * h], gates[..., 2 * h :], z[..., 3 * h :]
-            new = f * cell
-            new += i * g
-            tc = np.tanh(new)
+        z, row = np.empty((2, 4 * h + K, n), np.float32), np.empty((4 * h, n), np.float32)
+        gates, sides = z[:, : 4 * h], z[:, : 3 * h]
+        i, f, o, g = (z[:, k * h : (k + 1) * h] for k in range(4))
+        for t in range(length + 1):
+            np.matmul(u, state, out=z)
+            if t:
+                e[t - 1] += z[0, 4 * h :]
+                e[length - t] += z[1, 4 * h :]
+            if t == length:
+                break
+            for way, k in ((0, t), (1, length - 1 - t)):
+                x[way].take(at[k], axis=1, out=row, mode="clip")
+                gates[way] += row
+            sides.clip(0, 1, out=sides)
+            g.clip(-1, 1, out=g)
+            before = cell.copy() if keep else cell
+            cell *= f
+            np.multiply(i, g, out=part)
+            cell += part
+            tc = squash(cell)
             if keep:
-                tape.append((state, cell, z.copy(), gates, tc))
-            cell = new
-            state = o * tc
-            out[t] = state
-        both = np.concatenate([out[:, 0], out[::-1, 1]], axis=-1)  # length, n, 2h
-        return both, tape
+                tape.append((state.copy(), before, gates.copy(), cell.copy(), tc))
+            np.multiply(o, tc, out=state)
+        return e, [*tape, (state,)]
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """(length, windows, tags)."""
-        length, n = ids.shape[1], len(ids)
-        both, _ = self._run(ids, False)
-        return (both.reshape(-1, both.shape[-1]) @ self.p["w"] + self.p["b"]).reshape(length, n, K)
+        """(length, tags, windows)."""
+        return self._run(ids, False)[0]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """Best tag sequences; windows that no transition could lift above the all-outside path skip the search."""
+        """Best tag sequences in which an inner tag follows one of its own kind; a bound spares windows the search whose best is all outside."""
         e = self.emissions(ids)
-        t, s = self.p["t"], self.p["s"]
+        t, s = np.where(_FOLLOWS, self.p["t"], np.float32(-1e4)), self.p["s"]
         tags = np.zeros(ids.shape, np.uint8)
-        gain = max(float((t - t[0, 0]).max()), float((s - s[0]).max()), 0.0) * 2
-        todo = np.flatnonzero((e[:, :, 1:].max(axis=2) - e[:, :, 0]).max(axis=0) > -gain)
+        todo = np.flatnonzero(self._lifted(e, t))
         if not len(todo):
             return tags
-        e = e[:, todo]
-        score = s + e[0]
-        back = np.empty(e.shape, np.uint8)
+        score = np.ascontiguousarray(e[:, :, todo])
+        score[0] += s[:, None]
+        step = np.empty((K, K, len(todo)), np.float32)
         for k in range(1, len(e)):
-            step = score[:, :, None] + t
-            best = step.argmax(axis=1)
-            back[k] = best
-            score = np.take_along_axis(step, best[:, None, :], axis=1)[:, 0] + e[k]
-        at = score.argmax(axis=1)
-        rows = np.arange(len(todo))
+            np.add(score[k - 1][:, None], t[:, :, None], out=step)
+            score[k] += step.max(axis=0)
+        at = score[-1].argmax(axis=0)
         for k in range(len(e) - 1, -1, -1):
             tags[todo, k] = at
             if k:
-                at = back[k][rows, at]
+                at = (score[k - 1] + t[:, at]).argmax(axis=0)
         return tags
 
+    def _lifted(self, e: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Windows in which some path may score above the one that is all outside.
+
+        Scores are differences from that path. Of transitions between two spans the best counts for all.
+        """
+        s, kinds = self.p["s"], np.arange(1, K, 2)
+        begin, inner = e[:, 1::2] - e[:, :1], e[:, 2::2] - e[:, :1]
+        col = lambda a: np.ascontiguousarray(a - t[0, 0], np.float32)[:, None]
+        first, again, close = col(t[0, kinds]), col(t[1:, kinds].max(axis=0)), col(np.maximum(t[kinds, 0], t[kinds + 1, 0]))
+        second, on = col(t[kinds, kinds + 1]), col(t[kinds + 1, kinds + 1])
+        b, i = begin[0] + (s[kinds] - s[0])[:, None], inner[0] + (s[kinds + 1] - s[0])[:, None]
+        now = np.maximum(b, i)
+        top, first = now.copy(), np.repeat(first, now.shape[1], axis=1)
+        for k in range(1, len(e)):
+            b += second
+            i += on
+            np.maximum(i, b, out=i)
+            i += inner[k]
+            np.maximum(first, now.max(axis=0) + again, out=b)
+            b += begin[k]
+            np.maximum(b, i, out=now)
+            np.maximum(top, now, out=top)
+        return (top + close > 0).any(axis=0) | (now > 0).any(axis=0)
+
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood and its gradients."""
         n, length = ids.shape
         p, h = self.p, self.h
-        both, tape = self._run(ids, True)
-        e = (both @ p["w"] + p["b"]).astype(np.float64)
+        e, tape = self._run(ids, True)
+        out = np.stack([x[0] for x in tape[1:]])  # in running order of each direction
+        both = np.concatenate([out[:, 0], out[::-1, 1]], axis=1).transpose(0, 2, 1)  # length, n, 2h
+        e = e.transpose(0, 2, 1).astype(np.float64)
         t = p["t"].astype(np.float64)
         lse = lambda a, axis: (m := a.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis=axis))
         alpha = np.empty_like(e)
@@ -173,32 +221,34 @@ class Tagger:
         de = (de / n).astype(np.float32)
         g["w"] = both.reshape(-1, 2 * h).T @ de.reshape(-1, K)
         dboth = de @ p["w"].T
-        dout = np.stack([dboth[..., :h], dboth[::-1, :, h:]], axis=1)  # in running order of each direction
+        dout = np.stack([dboth[..., :h], dboth[::-1, :, h:]], axis=1).transpose(0, 1, 3, 2)  # in running order of each direction
         gx, gu = np.zeros_like(p["x"]), np.zeros_like(p["u"])
-        dh, dc = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        dh, dc = np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32)
         eye = np.eye(VOCAB, dtype=np.float32)
         for k in range(length - 1, -1, -1):
-            state, cell, zt, gates, tc = tape[k]
-            i, f, o, c = gates[..., :h], gates[..., h : 2 * h], gates[..., 2 * h :], zt[..., 3 * h :]
+            state, cell, z, now, tc = tape[k]
+            i, f, o, c = z[:, :h], z[:, h : 2 * h], z[:, 2 * h : 3 * h], z[:, 3 * h :]
             dh = dh + dout[k]
-            dc = dc + dh * o * (1 - tc * tc)
-            dz = np.concatenate([dc * c * 0.5, dc * cell * 0.5, dh * tc * 0.5, dc * i], axis=-1) * (1 - zt * zt)
-            gu += np.matmul(state.transpose(0, 2, 1), dz)
-            gx[0] += eye[ids[:, k]].T @ dz[0]
-            gx[1] += eye[ids[:, length - 1 - k]].T @ dz[1]
-            dh = np.matmul(dz, p["u"].transpose(0, 2, 1))
+            sq = np.minimum(now * now, 9)
+            dc = dc + dh * o * ((9 - sq) / (9 + 3 * sq)) ** 2
+            open_ = np.concatenate([0.5 * ((z[:, : 3 * h] > 0) & (z[:, : 3 * h] < 1)), abs(c) < 1], axis=1, dtype=np.float32)
+            dz = np.concatenate([dc * c, dc * cell, dh * tc, dc * i], axis=1) * open_
+            gu += np.matmul(state, dz.transpose(0, 2, 1))
+            gx[0] += eye[ids[:, k]].T @ dz[0].T
+            gx[1] += eye[ids[:, length - 1 - k]].T @ dz[1].T
+            dh = np.matmul(p["u"], dz)
             dc = dc * f
         g["x"], g["u"] = gx, gu
         return loss, g
 
 
-def train(model: Tagger, batches, steps: int, rate: float = 0.01, say=print) -> None:
-    """Adam with a cosine schedule; ``batches`` yields (ids, tags)."""
+def train(model: Tagger, gradients, steps: int, rate: float = 0.01, say=print) -> None:
+    """Adam with a cosine schedule; ``gradients`` gives the loss and the gradients of the model as it is."""
     m = {k: np.zeros_like(v, np.float64) for k, v in model.p.items()}
     v = {k: np.zeros_like(x) for k, x in m.items()}
     mean = None
     for step in range(1, steps + 1):
-        loss, g = model.gradients(*next(batches))
+        loss, g = gradients()
         mean = loss if mean is None else 0.98 * mean + 0.02 * loss
         norm = float(np.sqrt(sum((x.astype(np.float64) ** 2).sum() for x in g.values())))
         scale = min(1.0, 5.0 / (norm + 1e-9))

@@ -1,11 +1,10 @@
 """Personal information inside free text (problem 3).
 
 Method: a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans
-(``p3_train``). Windows of 64 characters are laid over every place whose shape could hold personal data (an at sign,
-a long number, adjoining capitalised words, a number beside a word), with their context; longer stretches get
-overlapping windows. All windows of a batch are decoded together and each character takes its tag from the window in
-which it lies most centrally. An exact check follows: spans are fitted to whole addresses, numbers and words, role
-mailboxes and spans of impossible shape are dropped.
+(``p3_train``). It reads every character: a text is one window, or several even ones that overlap where it is longer than
+``LENGTH``, and each character takes its tag from the window in which it lies most centrally. Windows of like width are
+decoded together; padding resets the state, so that neither neighbours nor the batch change a result. An exact check
+follows: spans are fitted to whole addresses, numbers and words, role mailboxes and spans of impossible shape are dropped.
 
 Texts are tagged where they are read; nothing is shuffled but the narrow results.
 
@@ -22,132 +21,63 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.llm.p3_synthetic import MONTHS
-from sieveworks.llm.p3_model import KINDS, LENGTH, PAD, Tagger, encode
-from sieveworks.llm.words import fold, word_hash
+from sieveworks.llm.p3_model import KINDS, PAD, Tagger, encode
 from sieveworks.sources.tables import latest
 from sieveworks.storage import table
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "p3_weights.npz")
-BEFORE, STRIDE = 30, 40
-BATCH = 256
+#: characters of a window, and those that it shares with the next
+LENGTH, OVER = 1024, 64
+BATCH = 384
 
 #: mailboxes of a function, not of a person (fixed values)
 ROLES = {"info", "support", "helpdesk", "office", "hr", "no-reply", "accounts", "webmaster"}
 
 _CAP = "A-ZÀ-ÖØ-Þ"
-_AT = re.compile(r"@|[\[(]at[\])]")
 _DIGITS = re.compile(r"\d[\dA-Z]*(?:[ ()./–-]{1,3}[\dA-Z]*\d[\dA-Z]*)*")
 _DATE = re.compile(r"(?:\d{1,2}([./-])\d{1,2}\1(?:19|20)?\d\d|(?:19|20)\d\d([./-])\d{1,2}\2\d{1,2})\Z")
-_RUN = re.compile(rf"[{_CAP}][\w'’-]*(?:\.?,?\s+[{_CAP}][\w'’-]*)+|[{_CAP}]\.\s*[{_CAP}][\w'’-]+")
-_STREET = re.compile(rf" ?(?:[a-d]\b|bis\b|ter\b)?,? ?(?:(?:rue|avenue|boulevard|impasse|allée|place|chemin|quai|cours|route|square)\b|([{_CAP}][\w'’-]+))")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _KIND_OF_STREET = re.compile(r" (?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Court|Ct|Close|Drive|Terrace|Way|Place|Crescent|Row|Walk|Square)\b")
-_STREET_END = re.compile("(?:platz|straße|strasse|str|weg|gasse|allee|ufer|damm|ring|wehr)\\Z", re.I)
 _STREET_LEAD = re.compile(rf"(?<!\w)(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den|Hinter der) (?:[{_CAP}]\w+ )?\Z")
-#: names in wide use that are words as well: they never count as mere words
-AMBIGUOUS = frozenset(
-    "bell bob cook cooper daisy day dean drew eve faith field ford frank gene grace grant gray green heather hill holly hope iris ivy jack jade june king lane law lee lily long mark marsh may miles olive page park pearl "
-    "penny price ray reed rich robin rose ruby rush rusty scott sharp short stone summer sunny violet wade walker ward will wood young".split()
-)
-_TITLED = re.compile(r"(?:\b(?:Dr|Mr|Mrs|Ms|Miss|Prof|Professor|Herr|Herrn|Frau|Sra?|Señora?|Mme|Mlle|Monsieur|Madame|Doña|Don)\.?\s+|\b[A-Z]\.\s?)\Z")
 #: names of months, which a number beside them does not make a street
 _MONTH = re.compile("|".join(m for ms in MONTHS.values() for m in ms), re.I)
 
 
-def places(text: str, known: frozenset[int] = frozenset()) -> list[tuple[int, int]]:
-    """Stretches of text to tag: possible shapes with their context, joined where they overlap.
-
-    ``known`` holds hashes of words that never occur in the names and streets of the training texts; a run of capitalised
-    words made of such words alone is no candidate, unless a title or an initial says that it is a name.
-    """
-    seen: list[tuple[int, int]] = [(m.start() - 44, m.end() + 40) for m in _AT.finditer(text)] if "@" in text or "at]" in text or "at)" in text else []
-    for m in _DIGITS.finditer(text):
-        shape, s, e = m.group(), m.start(), m.end()
-        if _DATE.match(shape):
-            continue
-        if sum(c.isdigit() for c in shape) >= 6:
-            seen.append((s - BEFORE, e + 8))
-            continue
-        number = re.match(r"\d{1,3}", shape)
-        if not number or text[number.end() + s : number.end() + s + 1].isdigit():
-            continue
-        after = _STREET.match(text, s + number.end())
-        if after and (_KIND_OF_STREET.match(text, after.end()) or not (after.group(1) and word_hash(fold(after.group(1))) in known)):
-            seen.append((s - 22, after.end() + 34))
-            continue
-        before = text[max(0, s - 24) : s].rstrip(" ,")
-        last = _TOKEN.findall(before)
-        if last and last[-1][0].isupper() and before.endswith((last[-1], last[-1] + ".")) and len(last[-1]) > 2 and (_STREET_END.search(last[-1]) or word_hash(fold(last[-1])) not in known):
-            seen.append((s - 44, e + 12))
-    for m in _RUN.finditer(text):
-        if not _mere_words(text, m.start(), m.group(), known):
-            seen.append((m.start() - 22, m.end() + 10))
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(seen):
-        s, e = max(0, s), min(len(text), e)
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
-
-
-def _mere_words(text: str, at: int, run: str, known: frozenset[int]) -> bool:
-    """Whether a run is made of ``known`` words alone, none of them also a name, with no title or initial before or in it."""
-    words = [fold(t) for t in _TOKEN.findall(run)]
-    if any(len(t) == 1 for t in words) or words[0] in AMBIGUOUS or not all(word_hash(t) in known for t in words):
-        return False
-    return not (_TITLED.search(text, max(0, at - 14), at) or _TITLED.match(run + " "))
-
-
-def windows(stretches: list[tuple[int, int]], n: int) -> list[int]:
-    """Starts of windows that cover the stretches, overlapping inside a stretch."""
-    out = []
-    for s, e in stretches:
-        while True:
-            out.append(s)
-            if s + LENGTH >= e:
-                break
-            s = min(s + STRIDE, e - LENGTH)
-    return out
+def windows(n: int) -> tuple[int, list[int]]:
+    """Width and starts of even windows that cover ``n`` characters, each sharing ``OVER`` of them with the next."""
+    k = max(1, -(-(n - OVER) // (LENGTH - OVER)))
+    width = -(-(n + (k - 1) * OVER) // k)
+    return width, [j * (width - OVER) for j in range(k)]
 
 
 def tag(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """(kind, start, end) spans of each text."""
+    """(kind, start, end) spans of each text, of which every character is read."""
     ids = [encode(t) for t in texts]
-    starts = [windows(places(t, model.known), len(t)) for t in texts]
-    flat = np.concatenate([*ids, np.full(LENGTH, PAD, np.uint8)]) if ids else np.empty(0, np.uint8)
     base = np.cumsum([0, *(len(x) for x in ids)])
-    at = np.array([base[k] + s for k, w in enumerate(starts) for s in w], np.int64)
-    owner = np.array([k for k, w in enumerate(starts) for _ in w], np.int64)
-    if not len(at):
-        return [[] for _ in texts]
-    reach = np.arange(LENGTH)
-    tags = np.empty((len(at), LENGTH), np.uint8)
-    room = base[owner + 1] - at
-    for lo in range(0, len(at), BATCH):
-        part = slice(lo, lo + BATCH)
-        chunk = flat[at[part][:, None] + reach]
-        chunk[reach[None, :] >= room[part][:, None]] = PAD
-        tags[part] = model.decode(chunk)
-    # each character takes the tag of the window in which it lies most centrally
+    flat = np.concatenate([*ids, np.full(LENGTH, PAD, np.uint8)])
+    # width, start, end of the text, and the characters that lie most centrally in this window
+    laid = []
+    for k, x in enumerate(ids):
+        if len(x):
+            width, starts = windows(len(x))
+            for s in starts:
+                laid.append((width, base[k] + s, base[k + 1], base[k] + s + OVER // 2 * (s > 0), base[k + 1] if s == starts[-1] else base[k] + s + width - OVER // 2))
     best = np.zeros(len(flat), np.uint8)
-    depth = np.full(len(flat), -1, np.int16)
-    central = np.minimum(reach, LENGTH - 1 - reach).astype(np.int16)
-    hit = np.flatnonzero(tags.any(axis=1))
-    near = np.unique(np.concatenate([hit, hit - 1, hit + 1])) if len(hit) else hit
-    for k in near[(near >= 0) & (near < len(at))]:
-        span = slice(int(at[k]), int(at[k]) + int(min(LENGTH, room[k])))
-        width = span.stop - span.start
-        # at the ends of a text nothing lies beyond, so the edge of the window is no edge
-        inner = central[:width].copy()
-        better = inner > depth[span]
-        best[span][better] = tags[k, :width][better]
-        depth[span][better] = inner[better]
+    laid.sort()  # windows of like width are read together
+    for lo in range(0, len(laid), BATCH):
+        part = np.array(laid[lo : lo + BATCH])
+        reach = np.arange(part[-1, 0])
+        at = part[:, 1:2] + reach
+        own = np.minimum(part[:, :1] + part[:, 1:2], part[:, 2:3])
+        tags = model.decode(np.where(at < own, flat[np.minimum(at, len(flat) - 1)], PAD))
+        hit = np.flatnonzero(tags.any(axis=1))
+        mine = (at[hit] >= part[hit, 3:4]) & (at[hit] < part[hit, 4:5])
+        best[at[hit][mine]] = tags[hit][mine]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     marked = np.flatnonzero(best)
     if not len(marked):
@@ -245,8 +175,6 @@ def find(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int, str]
         rows: list[tuple[str, int, int, str]] = []
         for kind, s, e in spans:
             got = fit(text, kind, s, e)
-            if got and KINDS[kind] == "person_name" and _mere_words(text, got[0], got[2], model.known):
-                continue  # ordinary words only
             if got and (not rows or got[0] >= rows[-1][2]):
                 rows.append((KINDS[kind], *got))
         out.append(rows)
@@ -258,10 +186,15 @@ def tagger(path: str = WEIGHTS) -> Tagger:
     return Tagger.load(path)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], size: int = 400) -> Iterator[tuple[list, list, list[str]]]:
+def _texts(batches: Iterator[pa.RecordBatch], rows: int = 4000, chars: int = 4_000_000) -> Iterator[tuple[list, list, list[str]]]:
+    """Kinds, ids and texts, up to so many at once that windows of like width fill their batches."""
     for b in batches:
-        for lo in range(0, b.num_rows, size):
-            part = b.slice(lo, size)
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(b[2]), 0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < b.num_rows:
+            most = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + chars, side="right"))
+            part = b.slice(lo, max(1, min(rows, most - lo)))
+            lo += part.num_rows
             yield part[0].to_pylist(), part[1].to_pylist(), [t or "" for t in part[2].to_pylist()]
 
 

@@ -6,20 +6,22 @@ Labelled spans come from ``p3_synthetic``. With a table of pages, sentences of i
 
 from __future__ import annotations
 
+import multiprocessing
 import random
 import re
 import sys
-from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 
-from sieveworks.llm.p3_model import KINDS, LENGTH, PAD, Tagger, encode, train
-from sieveworks.llm.p3_personal import _DATE, _DIGITS, WEIGHTS, places, windows
+from sieveworks.llm.p3_model import KINDS, PAD, Tagger, encode, train
+from sieveworks.llm.p3_personal import _DATE, _DIGITS, WEIGHTS
 from sieveworks.llm.p3_synthetic import GIVEN, Writer
-from sieveworks.llm.words import fold, word_hash
 
 NEGATIVES = 30_000
-_TOKEN = re.compile(r"[^\W\d_]+")
+HIDDEN, WORKERS = 24, 4
+#: characters of a window in training
+LENGTH = 128
 _DOUBT = re.compile(
     r"[@<>\\{}\[\]]|\(\d|\b[A-Z]\. |\b(?:" + "|".join(GIVEN) + "|" + "|".join(map(str.upper, GIVEN)) + r")\b"
     r"|(?i:\b(?:street|st|road|rd|lane|ln|avenue|ave|court|close|terrace|drive|rue|boulevard|impasse|chemin|allée|place|calle|c/|paseo|plaza|camino|avenida)\b.{0,30}\d|\d.{0,30}\b(?:street|st|road|rd|lane|ln|avenue|ave|court|close|terrace|drive|rue|boulevard|impasse|chemin|allée|place)\b|(?:straße|str\.|weg|platz|gasse|allee|wehr) \d)"
@@ -42,25 +44,8 @@ def negatives(path: str) -> list[str]:
     return sorted(found, key=xxhash.xxh3_64_intdigest)[:NEGATIVES]
 
 
-def known_words(plain: list[str], seed: int = 5, texts: int = 20_000, least: int = 3) -> frozenset[int]:
-    """Hashes of words that are common in text without personal data and never occur inside a labelled span."""
-    w = Writer(seed)
-    free: Counter[str] = Counter()
-    inside: set[str] = set()
-    for s in plain:
-        free.update(_TOKEN.findall(fold(s)))
-    for _ in range(texts):
-        text, spans = w.text()
-        at = 0
-        for s, e, kind in [*spans, (len(text), len(text), "")]:
-            free.update(_TOKEN.findall(fold(text[at:s])))
-            if kind in ("person_name", "street_address"):
-                inside.update(_TOKEN.findall(fold(text[s:e])))
-            at = e
-    return frozenset(word_hash(t) for t, n in free.items() if n >= least and t not in inside and len(t) > 1)
-
-
-def batches(seed: int, size: int, plain: list[str], known: frozenset[int]):
+def batches(seed: int, size: int, plain: list[str]):
+    """Windows over whole texts, wherever personal data may stand in them."""
     w = Writer(seed)
     ids, tags = [], []
     while True:
@@ -70,14 +55,44 @@ def batches(seed: int, size: int, plain: list[str], known: frozenset[int]):
         for s, e, kind in spans:
             gold[s] = 1 + 2 * KINDS.index(kind)
             gold[s + 1 : e] = 2 + 2 * KINDS.index(kind)
-        for at in windows(places(text, known), len(text)):
-            ids.append(codes[at : at + LENGTH])
-            tags.append(gold[at : at + LENGTH])
+        at = w.r.choice([0, w.r.randrange(LENGTH)])
+        for s in range(at if len(text) > LENGTH else 0, len(text), LENGTH * 3 // 4):
+            ids.append(codes[s : s + LENGTH])
+            tags.append(gold[s : s + LENGTH])
             if len(ids) == size:
                 yield np.stack(ids).astype(np.int64), np.stack(tags).astype(np.int64)
                 ids, tags = [], []
 
 
+def _work(pipe, hidden: int, seed: int, size: int, plain: list[str]) -> None:
+    model, made = Tagger(hidden), batches(seed, size, plain)
+    while (p := pipe.recv()) is not None:
+        model.p = p
+        pipe.send(model.gradients(*next(made)))
+
+
+@contextmanager
+def shared(model: Tagger, seed: int, size: int, plain: list[str], workers: int):
+    """Mean loss and gradients over the batches of several processes."""
+    pipes = []
+    for k in range(workers):
+        here, there = multiprocessing.Pipe()
+        multiprocessing.Process(target=_work, args=(there, model.h, seed + 1000 * k, size, plain), daemon=True).start()
+        pipes.append(here)
+
+    def gradients() -> tuple[float, dict[str, np.ndarray]]:
+        for x in pipes:
+            x.send(model.p)
+        got = [x.recv() for x in pipes]
+        return sum(loss for loss, _ in got) / workers, {k: sum(g[k] for _, g in got) / workers for k in model.p}
+
+    try:
+        yield gradients
+    finally:
+        for x in pipes:
+            x.send(None)
+
+
 def accuracy(model: Tagger, seed: int, texts: int = 400) -> dict[str, tuple[float, float]]:
     """Precision and recall of exact spans on held-out texts."""
     from sieveworks.llm.p3_personal import tag
@@ -100,10 +115,10 @@ def main(argv: list[str]) -> None:
     plain = negatives(argv[0]) if argv else []
     steps = int(argv[1]) if len(argv) > 1 else 3000
     again = argv[2:] == ["continue"]
-    model = Tagger.load(WEIGHTS) if again else Tagger(hidden=24, seed=3)
-    model.known = known_words(plain)
-    print(len(plain), "sentences without personal data,", len(model.known), "known words")
-    train(model, batches(12 if again else 11, 128, plain, model.known), steps, 0.006 if again else 0.01)
+    model = Tagger.load(WEIGHTS) if again else Tagger(hidden=HIDDEN, seed=3)
+    print(len(plain), "sentences without personal data")
+    with shared(model, 12 if again else 11, 64, plain, WORKERS) as gradients:
+        train(model, gradients, steps, 0.006 if again else 0.01)
     model.save(WEIGHTS)
     for kind, (p, r) in accuracy(model, 99).items():
         print(f"{kind}: precision {p:.3f}, recall {r:.3f}")

@@ -115,6 +115,29 @@ def test_personal_data_values():
     assert p3.redact(text, hits[0]).startswith("Write to [EMAIL] or call [PHONE]. General")
 
 
+def test_personal_data_every_character_is_read():
+    class Marks:
+        known = frozenset()
+
+        def decode(self, ids):
+            return np.full(ids.shape, 2, np.uint8)
+
+    plain = "nothing of any shape stands in words like these, " * 100
+    for n in (1, 5, 64, 1000, 1024, 1025, 1984, 1985, 4900):
+        assert p3.tag(Marks(), [plain[:n], "", plain[:n]]) == [[(0, 0, n)], [], [(0, 0, n)]], n
+
+
+def test_personal_data_wherever_it_stands():
+    m = p3.tagger()
+    row = "Marta Talstrømme, 820-93-4653, Flat 34, 63 Station St, Ilmenau am Wehr"
+    assert ("street_address", "63 Station St") in {(k, v) for k, _, _, v in p3.find(m, [row])[0]}
+    plain = "The older versions are kept at the depot and closed after a year. " * 40
+    texts = [plain[:n] + "\nWrite to anna.weber@north-post.example with the details.\n" + plain[: 2400 - n] for n in range(900, 1100, 8)]
+    company = p3.find(m, [row, "short", *texts, plain])[2:-1]
+    assert all(("email", "anna.weber@north-post.example") in {(k, v) for k, _, _, v in hits} for hits in company)
+    assert company[::6] == [p3.find(m, [t])[0] for t in texts[::6]]
+
+
 def test_gradients_match_differences():
     from sieveworks.llm.p3_model import Tagger
 
