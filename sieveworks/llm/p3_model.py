@@ -57,15 +57,14 @@ def encode(text: str) -> np.ndarray:
     return out
 
 
-def squash(x: np.ndarray) -> np.ndarray:
-    """A hyperbolic tangent by a ratio of polynomials, flat beyond 3; a fraction of the exact one's time."""
-    x = x.clip(-3, 3)
-    sq = x * x
-    x *= sq + 27
-    sq *= 9
-    sq += 27
-    x /= sq
-    return x
+def squash(x: np.ndarray, out: np.ndarray, part: np.ndarray) -> None:
+    """Nine times a hyperbolic tangent by a ratio of polynomials, flat beyond 3; a fraction of the exact one's time."""
+    x.clip(-3, 3, out=out)
+    np.multiply(out, out, out=part)
+    part += 3
+    np.divide(24, part, out=part)
+    part += 1
+    out *= part
 
 
 class Tagger:
@@ -92,79 +91,92 @@ class Tagger:
     def save(self, path: str) -> None:
         np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in self.p.items()})
 
-    def _scaled(self) -> tuple[np.ndarray, np.ndarray]:
-        """Inputs and weights of the state, transposed, that put gates on a scale to be cut at 0 and 1; padding closes them.
+    def _scaled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights by gate: of the characters for either direction, of the state, and of the emissions.
 
-        Below the gates the weights have the emissions.
+        They put gates on a scale to be cut at 0 and 1, padding closes them, and the state is nine times the network's.
         """
         h, p = self.h, self.p
-        x, u = p["x"].transpose(0, 2, 1).copy(), p["u"].transpose(0, 2, 1).copy()
-        x[:, : 3 * h] = x[:, : 3 * h] * 0.5 + 0.5
-        u[:, : 3 * h] *= 0.5
-        x[:, : 3 * h, PAD] = -1e4
-        return x, np.concatenate([u, p["w"].reshape(2, h, K).transpose(0, 2, 1)], axis=1)
+        x, u = p["x"].copy(), p["u"] / 9
+        x[..., : 3 * h] = x[..., : 3 * h] * 0.5 + 0.5
+        u[..., : 3 * h] *= 0.5
+        x[:, PAD, : 3 * h] = -1e4
+        w = np.ascontiguousarray(p["w"].reshape(2, h, K).transpose(0, 2, 1) / 9)
+        x, u = x.reshape(2 * VOCAB, 4, h).transpose(1, 0, 2), u.reshape(2, h, 4, h).transpose(2, 0, 1, 3)
+        return np.ascontiguousarray(x), np.ascontiguousarray(u), w
 
     def _run(self, ids: np.ndarray, keep: bool):
-        """Emissions (length, tags, windows); the states of both directions and what else the gradients need."""
+        """Emissions (length, tags, windows); the states of both directions and what else the gradients need.
+
+        Each gate is one block of memory, so that a character's weights are copied in a piece and steps run over whole blocks.
+        """
         n, length = ids.shape
         h = self.h
-        x, u = self._scaled()
-        at = ids.T.astype(np.intp, order="C")
-        state, cell, part = (np.zeros((2, h, n), np.float32) for _ in range(3))
+        x, u, w = self._scaled()
+        at = np.concatenate([ids.T, ids.T[::-1].astype(np.intp) + VOCAB], axis=1, dtype=np.intp)
+        state, cell, part = (np.zeros((2, n, h), np.float32) for _ in range(3))
         e = np.zeros((length, K, n), np.float32)
         e += self.p["b"][:, None]
         tape = []
-        z, row = np.empty((2, 4 * h + K, n), np.float32), np.empty((4 * h, n), np.float32)
-        gates, sides = z[:, : 4 * h], z[:, : 3 * h]
-        i, f, o, g = (z[:, k * h : (k + 1) * h] for k in range(4))
+        z, row, out = np.empty((4, 2, n, h), np.float32), np.empty((4, 2 * n, h), np.float32), np.empty((2, K, n), np.float32)
+        rows, sides = row.reshape(z.shape), z[:3]
+        i, f, o, g = z
+        turned = lambda a, by=1: a.transpose(0, 2, 1) / np.float32(by)
         for t in range(length + 1):
-            np.matmul(u, state, out=z)
             if t:
-                e[t - 1] += z[0, 4 * h :]
-                e[length - t] += z[1, 4 * h :]
+                np.matmul(w, state.transpose(0, 2, 1), out=out)
+                e[t - 1] += out[0]
+                e[length - t] += out[1]
             if t == length:
                 break
-            for way, k in ((0, t), (1, length - 1 - t)):
-                x[way].take(at[k], axis=1, out=row, mode="clip")
-                gates[way] += row
+            np.matmul(state, u, out=z)
+            x.take(at[t], axis=1, out=row, mode="clip")
+            z += rows
             sides.clip(0, 1, out=sides)
             g.clip(-1, 1, out=g)
-            before = cell.copy() if keep else cell
+            if keep:
+                old = turned(state, 9), turned(cell), z.transpose(1, 0, 3, 2).reshape(2, 4 * h, n)
             cell *= f
-            np.multiply(i, g, out=part)
-            cell += part
-            tc = squash(cell)
+            np.multiply(i, g, out=i)
+            cell += i
+            squash(cell, state, part)
             if keep:
-                tape.append((state.copy(), before, gates.copy(), cell.copy(), tc))
-            np.multiply(o, tc, out=state)
-        return e, [*tape, (state,)]
+                tape.append((*old, turned(cell), turned(state, 9)))
+            state *= o
+        return e, [*tape, (turned(state, 9),)]
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """(length, tags, windows)."""
         return self._run(ids, False)[0]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """Best tag sequences in which an inner tag follows one of its own kind; a bound spares windows the search whose best is all outside."""
-        e = self.emissions(ids)
+        """Best tag sequences in which an inner tag follows one of its own kind; a bound spares windows the search whose best is all outside.
+
+        A sequence ends with its window's last character, so that padding has no say in it.
+        """
+        e, last = self.emissions(ids), np.count_nonzero(ids != PAD, axis=1) - 1
         t, s = np.where(_FOLLOWS, self.p["t"], np.float32(-1e4)), self.p["s"]
         tags = np.zeros(ids.shape, np.uint8)
-        todo = np.flatnonzero(self._lifted(e, t))
+        todo = np.flatnonzero(self._lifted(e, t, last))
         if not len(todo):
             return tags
-        score = np.ascontiguousarray(e[:, :, todo])
+        score, last = np.ascontiguousarray(e[:, :, todo]), last[todo]
         score[0] += s[:, None]
         step = np.empty((K, K, len(todo)), np.float32)
         for k in range(1, len(e)):
             np.add(score[k - 1][:, None], t[:, :, None], out=step)
             score[k] += step.max(axis=0)
-        at = score[-1].argmax(axis=0)
-        for k in range(len(e) - 1, -1, -1):
-            tags[todo, k] = at
-            if k:
-                at = (score[k - 1] + t[:, at]).argmax(axis=0)
+        end = score[last, :, np.arange(len(todo))].argmax(axis=1)
+        path = np.empty((len(e), len(todo)), np.uint8)
+        path[-1] = at = end
+        for k in range(len(e) - 1, 0, -1):
+            at = (score[k - 1] + t[:, at]).argmax(axis=0)
+            np.copyto(at, end, where=last < k)
+            path[k - 1] = at
+        tags[todo] = path.T * (ids[todo] != PAD)
         return tags
 
-    def _lifted(self, e: np.ndarray, t: np.ndarray) -> np.ndarray:
+    def _lifted(self, e: np.ndarray, t: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Windows in which some path may score above the one that is all outside.
 
         Scores are differences from that path. Of transitions between two spans the best counts for all.
@@ -176,7 +188,7 @@ class Tagger:
         second, on = col(t[kinds, kinds + 1]), col(t[kinds + 1, kinds + 1])
         b, i = begin[0] + (s[kinds] - s[0])[:, None], inner[0] + (s[kinds + 1] - s[0])[:, None]
         now = np.maximum(b, i)
-        top, first = now.copy(), np.repeat(first, now.shape[1], axis=1)
+        top, end, first = now.copy(), now.copy(), np.repeat(first, now.shape[1], axis=1)
         for k in range(1, len(e)):
             b += second
             i += on
@@ -185,8 +197,9 @@ class Tagger:
             np.maximum(first, now.max(axis=0) + again, out=b)
             b += begin[k]
             np.maximum(b, i, out=now)
+            np.copyto(end, now, where=last == k)
             np.maximum(top, now, out=top)
-        return (top + close > 0).any(axis=0) | (now > 0).any(axis=0)
+        return (top + close > 0).any(axis=0) | (end > 0).any(axis=0)
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood and its gradients."""

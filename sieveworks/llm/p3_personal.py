@@ -3,7 +3,7 @@
 Method: a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans
 (``p3_train``). It reads every character: a text is one window, or several even ones that overlap where it is longer than
 ``LENGTH``, and each character takes its tag from the window in which it lies most centrally. Windows of like width are
-decoded together; padding resets the state, so that neither neighbours nor the batch change a result. An exact check
+decoded together; padding resets the state and has no tags, so that neither neighbours nor the batch change a result. An exact check
 follows: spans are fitted to whole addresses, numbers and words, role mailboxes and spans of impossible shape are dropped.
 
 Texts are tagged where they are read; nothing is shuffled but the narrow results.
@@ -33,7 +33,7 @@ from sieveworks.storage import table
 WEIGHTS = os.path.join(os.path.dirname(__file__), "p3_weights.npz")
 #: characters of a window, and those that it shares with the next
 LENGTH, OVER = 1024, 64
-BATCH = 384
+BATCH = 576
 
 #: mailboxes of a function, not of a person (fixed values)
 ROLES = {"info", "support", "helpdesk", "office", "hr", "no-reply", "accounts", "webmaster"}
@@ -186,7 +186,7 @@ def tagger(path: str = WEIGHTS) -> Tagger:
     return Tagger.load(path)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], rows: int = 4000, chars: int = 4_000_000) -> Iterator[tuple[list, list, list[str]]]:
+def _texts(batches: Iterator[pa.RecordBatch], rows: int = 10_000, chars: int = 10_000_000) -> Iterator[tuple[list, list, list[str]]]:
     """Kinds, ids and texts, up to so many at once that windows of like width fill their batches."""
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.utf8_length(b[2]), 0).to_numpy(zero_copy_only=False))

@@ -138,6 +138,61 @@ def test_personal_data_wherever_it_stands():
     assert company[::6] == [p3.find(m, [t])[0] for t in texts[::6]]
 
 
+def test_personal_data_steps_and_padding():
+    import pyarrow as pa
+
+    r = random.Random(8)
+    texts = ["x" * r.choice([0, r.randrange(1, 1000), r.randrange(1, 1000), r.randrange(200, 900), r.randrange(1000, 5000)]) for _ in range(10_000)]
+    work = {"steps": 0, "cells": 0, "read": 0}
+
+    class Counts:
+        def decode(self, ids):
+            work["steps"] += ids.shape[1]
+            work["cells"] += ids.size
+            work["read"] += np.count_nonzero(ids)
+            return np.zeros(ids.shape, np.uint8)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["pages"] * len(texts)), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["record_kind", "id", "text"])
+    seen = 0
+    for _, ids, part in p3._texts(iter([batch])):
+        seen += len(ids)
+        p3.tag(Counts(), part)
+    chars = sum(map(len, texts))
+    assert seen == len(texts) and work["read"] >= chars  # nothing is left out
+    assert work["cells"] < 1.08 * chars and work["steps"] * 480 < chars
+
+
+def test_personal_data_at_the_end_in_any_company():
+    m = p3.tagger()
+    longer = "The older versions are kept at the depot and closed after a year. " * 6
+    for text in ("a second signature from Elmhurst Dale Branch. Tel 5205550180", "The branch asks for a list. Tel 9515550158"):
+        alone = p3.find(m, [text])[0]
+        assert alone and p3.find(m, [text, longer])[0] == alone == p3.find(m, [longer, text, "short"])[1]
+
+
+def test_network_as_written_out():
+    from sieveworks.llm.p3_model import PAD, VOCAB, Tagger
+
+    m = Tagger(hidden=5, seed=4)
+    h, p = m.h, {k: v.astype(float) for k, v in m.p.items()}
+    r = np.random.default_rng(5)
+    ids = r.integers(1, VOCAB, (6, 40)).astype(np.uint8)
+    for k, n in enumerate((40, 40, 33, 12, 1, 0)):
+        ids[k, n:] = PAD
+    want = np.zeros((40, len(p["b"]), 6)) + p["b"][:, None]
+    for k, row in enumerate(ids):
+        for way, order in ((0, range(40)), (1, range(39, -1, -1))):
+            state, cell = np.zeros(h), np.zeros(h)
+            for t in order:
+                z = p["x"][way, row[t]] + state @ p["u"][way]
+                i, f, o = (z[: 3 * h] * 0.5 + 0.5).clip(0, 1).reshape(3, h) * (row[t] != PAD)
+                cell = cell * f + i * z[3 * h :].clip(-1, 1)
+                c = cell.clip(-3, 3)
+                state = o * c * (27 + c * c) / (27 + 9 * c * c)
+                want[t, :, k] += state @ p["w"][way * h : (way + 1) * h]
+    assert abs(m.emissions(ids) - want).max() < 1e-4
+
+
 def test_gradients_match_differences():
     from sieveworks.llm.p3_model import Tagger
 
