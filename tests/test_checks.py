@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sieveworks.operators import dedup, export_lint, extraction, metadata, retrieval, scoring, versions
@@ -201,3 +202,11 @@ def test_long_page_ranges(spark):
     f = spark.createDataFrame([("p.1–5000",), ("p.7, 9 - 10; p.12, line 5",), ("p.9–3",), ("",), (None,)], "location string")
     got = [(r["location"], r["page"]) for r in scoring.pages(f).collect()]
     assert sorted(got) == sorted([("p.1–5000", k) for k in range(1, 5001)] + [("p.7, 9 - 10; p.12, line 5", k) for k in (7, 9, 10, 12)])
+
+
+def test_no_index_after_a_crashed_check(spark):
+    d = docs(spark, ("a.md", "md", FILLER, {}))
+    f = spark.createDataFrame([("versions-crashed", "info", "versions check failed: OSError", "", [])], "check string, severity string, title string, path string, related array<string>")
+    with pytest.raises(ValueError, match="versions check failed"):
+        retrieval.after_index(d, f)
+    assert retrieval.after_index(d, f.limit(0)).count() == 1
