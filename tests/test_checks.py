@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sieveworks.operators import dedup, export_lint, extraction, metadata, retrieval, scoring, versions
+from sieveworks import storage
+from sieveworks.operators import dedup, export_lint, extraction, metadata, retrieval, scoring, setjoin, versions
 from sieveworks.sources import files
 from tests.test_text import found_conflicts
 
@@ -210,3 +211,43 @@ def test_no_index_after_a_crashed_check(spark):
     with pytest.raises(ValueError, match="versions check failed"):
         retrieval.after_index(d, f)
     assert retrieval.after_index(d, f.limit(0)).count() == 1
+
+
+def _family_texts(rng, families, members):
+    """Texts of families whose members share from about a third to nearly all of their words, among common phrases."""
+    phrases = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(20)]
+    rows = []
+    for f in range(families):
+        body = [f"f{f}w{i}" for i in range(rng.choice([30, 150, 600]))]
+        for m in range(members):
+            w = list(body)
+            for i in rng.sample(range(len(w)), int(len(w) * rng.random() * 0.16)):
+                w[i] = f"x{f}m{m}i{i}"
+            rows.append((f"d{f}/m{m}.md", " ".join([*rng.sample(phrases, 2), *w])))
+    return rows
+
+
+def test_near_pairs_of_families_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "PART", 3_000)
+    monkeypatch.setattr(setjoin, "STEP", 50)
+    rows = _family_texts(random.Random(3), 60, 5)
+    rows.append(("copy.md", rows[0][1].upper()))
+    sets = {p: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for p, t in rows[:-1]}
+    sets["copy.md"] = sets.pop(rows[0][0])  # the lesser path stands for both
+    want = {}
+    for a in sets:
+        for b in sets:
+            if a < b and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.5:
+                want[a, b] = round(j, 9)
+    got = dedup.near_pairs(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert {(r["path_a"], r["path_b"]): round(r["jaccard"], 9) for r in got} == want and len(got) == len(want) > 30
+
+
+def test_near_pairs_write_less_than_they_read(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"{k}.md", " ".join(rng.choice(["in", "on", "at", "to", "by", "up"]) for _ in range(200))) for k in range(2000)]
+    spark.createDataFrame(rows, "path string, text string").write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(storage, "shared_dir", lambda s: f"file://{tmp_path}/shared")
+    dedup.near_pairs(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    size = lambda p: sum(x.stat().st_size for x in p.rglob("*.parquet"))
+    assert size(tmp_path / "shared") < size(tmp_path / "docs")
